@@ -79,10 +79,11 @@ def line_features(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray
     again = np.r_[False, (h[1:] == h[:-1]) & (owner[1:] == owner[:-1])]
     repeats = np.bincount(owner, weights=again, minlength=len(begins))
     few = np.bincount(owner, weights=(w_end - w_start) <= 3, minlength=len(begins))
-    letters = np.maximum(1, count[UPPER] + count[LOWER])
-    words = np.maximum(1, n_words)
+    # short lines tell little: their shares are drawn towards 0
+    letters = 10 + count[UPPER] + count[LOWER]
+    words = 3 + n_words
     x = np.stack(
-        [np.ones(len(begins)), count[UPPER] / letters, count[DIGIT] / np.maximum(1, size), np.minimum(3, count[BANG] / words), np.minimum(3, count[BAR] / words), np.minimum(6, count[MARK] / words), np.minimum(3, count[DOT] / words), repeats / words, np.log1p(n_words), size / words / 8, few / words, high / letters],
+        [np.ones(len(begins)), count[UPPER] / letters, count[DIGIT] / (10 + size), np.minimum(3, count[BANG] / words), np.minimum(3, count[BAR] / words), np.minimum(6, count[MARK] / words), np.minimum(3, count[DOT] / words), repeats / words, np.log1p(n_words), size / words / 8, few / words, high / letters],
         1,
     )
     keep = size > 0

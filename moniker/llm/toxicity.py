@@ -10,9 +10,10 @@ ends of clauses carry the factor of the whole clause:
 * a clause with a target counts AIMED times; a threat counts only if a target follows it in the clause;
 * a clause's score is the sum; a document's score is the sum of its clauses' and it is flagged from LEAST on.
 
-The lexicon has a small dictionary, and lexemes fitted on at most SAMPLE labelled documents of each kind (those of least hash of id): words, and
-beginnings of words of 3 to 7 letters, that are in at least SUPPORT toxic documents and whose odds there are exp(ODDS) times those in others;
-of lexemes that cover the same only the shortest is needed. All texts are then read whole.
+The lexicon has a small dictionary, and lexemes fitted on labelled documents, at most SAMPLE toxic and CLEAN others (those of least hash
+of id): words, and beginnings of words of 3 to 7 letters, that at least SUPPORT toxic documents have, none a near copy of another,
+with odds of exp(ODDS) against the others, and so many that CHANCE such lexemes at most would be found by chance. A beginning gives way to a longer
+lexeme that EXPLAINED of its documents have. All texts are then read whole.
 
 Defined results: null and empty texts have no clauses and aren't flagged. Rows are judged each by itself, repeated ones too; null ids are kept. Null
 labels and labels of null ids don't count; of conflicting labels any toxic one counts. An empty table gives an empty result. Other columns don't matter.
@@ -20,10 +21,13 @@ labels and labels of null ids don't count; of conflicting labels any toxic one c
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator, Mapping
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SAMPLE, SUPPORT, ODDS, LEAST = 3000, 4, 3.5, 0.9
+SAMPLE, CLEAN, SUPPORT, ODDS, CHANCE, EXPLAINED, LEAST = 3000, 20_000, 4, 3.5, 0.05, 0.7, 0.9
 NEAR, NEGATED, REPORTED, AIMED, CERTAIN = 2, 0.2, 0.3, 1.5, 1.0
 WORD, INSULT, THREAT, TARGET, NEGATION, SAYING, QUOTE, COMMA, STOP = range(9)
 
@@ -126,8 +130,6 @@ class Reader:
         self.marks = {"\n": STOP, ".": STOP, "!": STOP, "?": STOP, ",": COMMA, ";": COMMA, ":": COMMA} | dict.fromkeys('"“”«»„', QUOTE)
         # what a text must have for any score: gates most texts out before they are read as symbols
         heads = sorted({w for w, (k, _) in self.symbols.items() if k in (INSULT, THREAT)} | set(self.beginnings))
-        import ahocorasick
-
         self.gate = ahocorasick.Automaton()
         for w in heads:
             self.gate.add_word(w, len(w))
@@ -172,41 +174,85 @@ class Reader:
         return total, clauses
 
 
-def lexemes(texts: list[str], toxic: list[bool]) -> Lexicon:
-    """Words and beginnings of words that tell toxic documents, with weights."""
-    seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
-    number = Counter(toxic)
-    for text, bad in zip(texts, toxic, strict=True):
-        words = set(re.findall(r"[^\W\d_]+", text.lower()))
-        marks = {("word", w) for w in words if len(w) > 2}
-        marks |= {("beginning", w[:n]) for w in words for n in range(3, 8) if len(w) > n}
-        seen[bad].update(marks)
+def marks_of(text: str) -> set[tuple[str, str]]:
+    words = {w for w in re.findall(r"[^\W\d_]+", text.lower()) if len(w) > 2}
+    return {("word", w) for w in words} | {("beginning", w[:n]) for w in words for n in range(3, 8) if len(w) > n}
+
+
+def apart(texts: list[str]) -> list[str]:
+    """Of texts that share one of their three least hashed word triples, as near copies do, only the first."""
+    seen: set[int] = set()
+    out = []
+    for text in texts:
+        w = re.findall(r"[^\W\d_]+", text.lower())
+        least = sorted({zlib.crc32(" ".join(w[i : i + 3]).encode()) for i in range(max(1, len(w) - 2))})[:3]
+        if not seen.intersection(least):
+            out.append(text)
+        seen.update(least)
+    return out
+
+
+def candidates(toxic: list[str]) -> dict[tuple[str, str], int]:
+    """Numbers of toxic documents, without near copies, that have each word or beginning, if SUPPORT at least."""
+    count: Counter = Counter()
+    for text in toxic:
+        count.update(marks_of(text))
+    return {m: n for m, n in count.items() if n >= SUPPORT}
+
+
+def lexemes(found: Mapping[tuple[str, str], int], n_toxic: int, clean: Mapping[tuple[str, str], int], n_clean: int) -> Lexicon:
+    """Those of the candidates that tell toxic documents, with weights."""
     out: Lexicon = {"word": {}, "beginning": {}}
-    if not number[True] or not number[False]:
+    if not n_toxic or not n_clean or not found:
         return out
-    found: Mapping[tuple[str, str], float] = {}
-    for mark, n in seen[True].items():
-        odds = np.log((n + 0.5) / number[True]) - np.log((seen[False][mark] + 0.5) / number[False])
-        if n >= SUPPORT and odds >= ODDS and n / (n + seen[False][mark]) > 0.9:
-            found[mark] = n
-    for (kind, w), n in sorted(found.items(), key=lambda x: len(x[0][1])):
-        if kind == "beginning" and any(w[:k] in out["beginning"] for k in range(3, len(w))):
-            continue
-        if kind == "word" and any(w[:k] in out["beginning"] for k in range(3, len(w) + 1)):
+    rate = n_toxic / (n_toxic + n_clean)
+    most = math.log(CHANCE / len(found))
+    good = []
+    for mark, n in found.items():
+        m = clean.get(mark, 0)
+        odds = math.log((n + 0.5) / n_toxic) - math.log((m + 0.5) / n_clean)
+        chance = math.lgamma(n + m + 1) - math.lgamma(n + 1) - math.lgamma(m + 1) + n * math.log(rate) + m * math.log(1 - rate)
+        if odds >= ODDS and chance <= most:
+            good.append((n, len(mark[1]) + (mark[0] == "word") / 2, mark))
+    # a beginning that one longer lexeme explains for the most part gives way to it
+    longer: Counter = Counter()
+    for n, _, (_, w) in good:
+        for k in range(3, len(w)):
+            longer[w[:k]] = max(longer[w[:k]], n)
+    for n, _, (kind, w) in sorted(good, key=lambda x: (x[1], x[2])):
+        if kind == "beginning" and longer[w] >= EXPLAINED * n or any(w[:k] in out["beginning"] for k in range(3, len(w))):
             continue
-        # a single word of so many may stand apart by chance, so the rarer count less
-        out[kind][w] = CERTAIN if n >= 2 * SUPPORT else 0.5
+        out[kind][w] = CERTAIN
     return out
 
 
-def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Lexicon:
-    """The lexicon from at most `sample` toxic and as many other documents."""
+def _count(found: list[tuple[str, str]]):
+    number = {m: i for i, m in enumerate(found)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                total.update(number[m] for m in marks_of(text or "") if m in number)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total.keys()), pa.int64()), pa.array(list(total.values()), pa.int64())], ["mark", "n"])
+
+    return run
+
+
+def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, clean: int = CLEAN) -> Lexicon:
+    """The lexicon from at most `sample` toxic and `clean` other documents."""
     C.ready(docs.sparkSession)
     marks = C.pick(labels, id=id_col, bad=label_col).where("id is not null and bad is not null").groupBy("id").agg(F.max(F.col("bad") > 0).alias("bad"))
-    draw = lambda c: marks.where(c).orderBy(F.xxhash64("id"), "id").limit(sample)
-    chosen = draw("bad").unionByName(draw("not bad"))
-    rows = C.pick(docs, id=id_col, text=text_col).join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("bad").alias("bad")).where("text is not null").collect()
-    return lexemes([r["text"] for r in rows], [r["bad"] for r in rows])
+    draw = lambda c, n: marks.where(c).orderBy(F.xxhash64("id"), "id").limit(n)
+    d = C.pick(docs, id=id_col, text=text_col)
+    # bounded tables of ids
+    toxic = d.join(F.broadcast(draw("bad", sample)), "id").where("text is not null").select("id", "text").orderBy("id", "text").collect()
+    toxic = apart([r["text"] for r in toxic])
+    found = candidates(toxic)
+    others = d.join(F.broadcast(draw("not bad", clean)), "id").where("text is not null").select("text")
+    names = list(found)
+    count = {names[r["mark"]]: r["n"] for r in others.mapInArrow(_count(names), "mark long, n long").groupBy("mark").agg(F.sum("n").alias("n")).collect()}
+    return lexemes(found, len(toxic), count, draw("not bad", clean).count())
 
 
 def _judge(lexicon: Lexicon):
