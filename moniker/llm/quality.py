@@ -91,6 +91,20 @@ def line_features(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return x[keep], size[keep], np.searchsorted(owner_text, np.arange(n + 1))
 
 
+def features_of(texts: list[str], most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """line_features of a list of texts, some at a time, which bounds the memory that it takes."""
+    parts, at = [], 0
+    while at < len(texts) or not parts:
+        end, n = at, 0
+        while end < len(texts) and (end == at or n + len(texts[end]) <= most):
+            n += len(texts[end])
+            end += 1
+        parts.append(line_features(pa.array(texts[at:end], pa.string())))
+        at = end
+    counts = np.concatenate([np.diff(p[2]) for p in parts])
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.r_[0, np.cumsum(counts)]
+
+
 def viterbi(score: np.ndarray, stay: float, offsets: np.ndarray) -> np.ndarray:
     """True for boilerplate, from each line's score of boilerplate against content; a change of state costs `stay`. Ties are content."""
     n = np.diff(offsets)
@@ -119,15 +133,20 @@ def viterbi(score: np.ndarray, stay: float, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def judge(strings: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of lines and the shares of content of texts."""
-    x, size, offsets = line_features(strings)
+def shares(x: np.ndarray, size: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarray:
+    """The shares of content of texts with these lines."""
     score = ((x - np.array(model.center)) / np.array(model.scale)) @ np.array(model.weights)
     junk = viterbi(score, model.stay, offsets)
     total = np.r_[0, np.cumsum(size)]
     good = np.r_[0, np.cumsum(np.where(junk, 0, size))]
     per = lambda c: c[offsets[1:]] - c[offsets[:-1]]
-    return np.diff(offsets), per(good) / np.maximum(1, per(total))
+    return per(good) / np.maximum(1, per(total))
+
+
+def judge(strings: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of lines and the shares of content of texts."""
+    x, size, offsets = line_features(strings)
+    return np.diff(offsets), shares(x, size, offsets, model)
 
 
 def _fit_field(x: np.ndarray, y: np.ndarray, offsets: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
@@ -169,8 +188,7 @@ def _fit_field(x: np.ndarray, y: np.ndarray, offsets: np.ndarray, weight: np.nda
 
 
 def fit(texts: list[str], good: np.ndarray) -> Model:
-    strings = pa.array(texts, pa.string())
-    x, size, offsets = line_features(strings)
+    x, size, offsets = features_of(texts)
     some = np.diff(offsets) > 0
     good = good[some]
     if not good.any() or good.all():
@@ -190,7 +208,7 @@ def fit(texts: list[str], good: np.ndarray) -> Model:
         y = ((~good)[of] & ((s > 0) | (s >= worst))).astype(np.float64)
         w, stay = _fit_field(z, y, offsets, weight)
     model = Model(tuple(w.tolist()), stay, 0.5, tuple(center.tolist()), tuple(scale.tolist()))
-    share = judge(strings, model)[1][some]
+    share = shares(x, size, offsets, model)
     at = np.arange(5, 96, 5) / 100
     value = [(share[~good] < t).mean() - LOSS * (share[good] < t).mean() for t in at]
     top = np.flatnonzero(np.array(value) >= max(value) - 1e-9)
