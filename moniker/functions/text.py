@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}_'-]+"
@@ -83,3 +83,8 @@ def tokens(text: Column) -> Column:
 def strip(text: Column) -> Column:
     """Without white space at the ends."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def with_forms(df: DataFrame, name: str = "t", source: str = "text") -> DataFrame:
+    """df with the forms as a column. It is made by a generator, as the optimizer would put a projected expression into each lambda that uses it."""
+    return df.select("*", F.explode(F.array(forms(F.col(source)))).alias(name))

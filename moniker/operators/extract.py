@@ -27,7 +27,7 @@ def patterns(cluster_rows: DataFrame, settings: Settings = Settings()) -> DataFr
 
 def candidates(docs: DataFrame, pattern_rows: DataFrame) -> DataFrame:
     """doc_id, pos, pattern, n_tokens, schema where a document's bigram at pos (from 0) begins a pattern; not yet verified."""
-    forms = docs.select("doc_id", X.forms(F.col("text")).alias("t"))
+    forms = X.with_forms(docs).select("doc_id", "t")
     pairs = F.zip_with(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     return forms.select("doc_id", F.posexplode(pairs).alias("pos", "first_bigram")).join(pattern_rows, "first_bigram")
 
@@ -67,7 +67,7 @@ def extract(docs: DataFrame, pattern_rows: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text").where("text is not null")
     c = candidates(docs, pattern_rows)
     per = c.groupBy("doc_id").agg(F.collect_set(F.struct("pos", F.col("n_tokens").alias("n"), "pattern", "schema")).alias("c"))
-    rows = docs.join(per, docs["doc_id"].eqNullSafe(per["doc_id"])).drop(per["doc_id"]).withColumn("t", X.forms(F.col("text")))
+    rows = X.with_forms(docs.join(per, docs["doc_id"].eqNullSafe(per["doc_id"])).drop(per["doc_id"]))
     true = F.filter("c", lambda x: F.array_join(F.slice("t", x["pos"] + 1, x["n"]), " ") == x["pattern"])
     chosen = F.transform(leftmost_longest(true), lambda x: F.struct(x["pos"].alias("first"), (x["pos"] + x["n"] - 1).alias("last"), x["schema"].alias("schema")))
-    return spans(rows.select("doc_id", "text", chosen.alias("found")).where(F.size("found") > 0)).drop("match")
+    return spans(rows.select("doc_id", "text", chosen.alias("found"))).drop("match")

@@ -66,9 +66,9 @@ def percolate(docs: DataFrame, cluster_rows: DataFrame, posting_rows: DataFrame,
     named = cluster_rows.select("key", common_schema(F.col("schemata")).alias("schema"), F.explode(F.concat(F.transform("names", lambda x: F.struct(F.lit(0).alias("is_alias"), x.alias("name"))), F.transform("aliases", lambda x: F.struct(F.lit(1).alias("is_alias"), x.alias("name"))))).alias("n"))
     named = named.select("key", "schema", "n.is_alias", "n.name", X.forms(F.col("n.name")).alias("toks")).where(F.size("toks") >= MIN_TOKEN_COUNT)
     per = best.join(named, "key").groupBy("doc_id").agg(F.collect_list(F.struct("rank", "is_alias", "name", "toks", "schema")).alias("c"))
-    rows = docs.join(per, docs["doc_id"].eqNullSafe(per["doc_id"])).drop(per["doc_id"]).withColumn("t", X.forms(F.col("text")))
+    rows = X.with_forms(docs.join(per, docs["doc_id"].eqNullSafe(per["doc_id"])).drop(per["doc_id"]))
     likely = F.filter("c", lambda x: F.size(F.array_except(x["toks"], F.col("t"))) == 0)
     found = F.flatten(F.transform(likely, lambda x: F.transform(in_order(F.col("t"), x["toks"], slop), lambda m: F.struct(m["first"].alias("first"), m["last"].alias("last"), x["schema"].alias("schema"), x["rank"].alias("rank"), x["is_alias"].alias("is_alias"), x["name"].alias("name")))))
-    hits = spans(rows.select("doc_id", "text", found.alias("found")).where(F.size("found") > 0))
+    hits = spans(rows.select("doc_id", "text", found.alias("found")))
     first = F.min_by(F.struct("text", "schema"), F.struct("match.rank", "match.is_alias", "match.name"))
     return hits.groupBy("doc_id", "start", "end").agg(first.alias("m")).select("doc_id", "m.text", "start", "end", "m.schema")

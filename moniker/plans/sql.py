@@ -116,12 +116,15 @@ def percolation(slop: int) -> str:
 named as (select key, {common('schemata')} as schema, is_alias, name, {forms('name')} as f from (
   select key, schemata, 0 as is_alias, unnest(names) as name from clusters union all select key, schemata, 1, unnest(aliases) from clusters)),
 one as (
-  select r.doc_id, r.rank, n.is_alias, n.name, n.schema, n.f, t.pos as p1 from ranked r join named n on n.key = r.key and len(n.f) between 2 and 3 join tokens t on t.doc_id = r.doc_id and t.form = n.f[1] where r.rank <= 10000),
+  select r.doc_id, r.rank, n.is_alias, n.name, n.schema, len(n.f) as n, n.f[2] as f2, n.f[3] as f3, t.pos as p1
+  from ranked r join (select *, f[1] as f1 from named where len(f) between 2 and 3) n on n.key = r.key join tokens t on t.doc_id = r.doc_id and t.form = n.f1 where r.rank <= 10000),
 two as (
-  select o.*, min(t.pos) as p2 from one o join tokens t on t.doc_id = o.doc_id and t.form = o.f[2] and t.pos > o.p1 and t.pos <= o.p1 + len(o.f) - 1 + {slop} group by all),
+  select o.doc_id, o.rank, is_alias, name, schema, n, f3, p1, min(t.pos) as p2 from (select *, p1 + unnest(range(1, n + {slop})) as at from one) o
+  join tokens t on t.doc_id = o.doc_id and t.pos = o.at where t.form = o.f2 group by all),
 three as (
-  select w.*, min(t.pos) as p3 from two w left join tokens t on len(w.f) = 3 and t.doc_id = w.doc_id and t.form = w.f[3] and t.pos > w.p2 and t.pos <= w.p1 + 2 + {slop} group by all),
-hits as (select *, coalesce(p3, p2) as last from three where len(f) = 2 or p3 is not null),
+  select w.doc_id, w.rank, is_alias, name, schema, p1, min(t.pos) as last from (select *, p1 + unnest(range(2, 3 + {slop})) as at from two where n = 3) w
+  join tokens t on t.doc_id = w.doc_id and t.pos = w.at where t.form = w.f3 and t.pos > w.p2 group by all),
+hits as (select doc_id, rank, is_alias, name, schema, p1, p2 as last from two where n = 2 union all select * from three),
 firsts as (select doc_id, p1, last, arg_min(schema, (rank, is_alias, name)) as schema from hits group by doc_id, p1, last),
 mentions as (
   select f.doc_id, string_agg(t.original, ' ' order by t.pos) as text, min(t.s) as start, max(t.e) as "end", f.schema

@@ -13,7 +13,7 @@ DATA = os.environ.get("TEST_DATA", "/root/testdata")
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
-    c = duckdb.connect()
+    c = duckdb.connect(config={"memory_limit": "4GB", "threads": 4})
     for t in TABLES:
         path = f"{sf_dir}/{t}.parquet"
         c.execute(f"create view {t} as select * from read_parquet('{path + '/*.parquet' if os.path.isdir(path) else path}')")
