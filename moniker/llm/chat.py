@@ -37,7 +37,9 @@ def log_of_turns(conversations: DataFrame) -> DataFrame:
 
 def messages(events: DataFrame) -> DataFrame:
     """conv_id, turn, role, content of the final messages of a log conv_id, seq, turn, role, kind, text."""
-    e = C.pick(events, conv_id="conv_id", seq="seq", turn="turn", role="role", kind="kind", text="text").where("conv_id is not null and turn is not null").distinct()
+    e = C.pick(events, conv_id="conv_id", seq="seq", turn="turn", role="role", kind="kind", text="text").where("conv_id is not null and turn is not null")
+    # one shuffle serves all that follows: the distinct rows, both windows and the messages
+    e = e.repartition("conv_id").distinct()
     e = e.select("conv_id", F.coalesce("seq", F.lit(-(1 << 62))).alias("seq"), "turn", "role", F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("text", F.lit("")).alias("text"))
     # equal sequence numbers: rank decides, within a conversation
     order = F.struct("seq", "kind", F.coalesce("role", F.lit("")), "text")
