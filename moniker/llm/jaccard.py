@@ -287,5 +287,7 @@ def keep_one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     mark = C.cut(mark.select(F.col("row").alias("__row"), F.col("stays").alias("__stays"), F.col("copies").alias("__copies")).where("not __stays or __copies > 1"))
     keyed = docs.withColumn("__row", F.xxhash64(docs[f"`{id_col}`"], docs[f"`{text_col}`"]))
     single = keyed.join(mark, "__row", "left_anti")
-    repeated = keyed.join(mark.where("__stays"), "__row", "left_semi").dropDuplicates(["__row"])
+    # written on its own, as it is mostly empty, and its known size then spares this branch a shuffle of texts
+    again = C.cut(mark.where("__stays").select("__row").coalesce(1))
+    repeated = keyed.join(again, "__row", "left_semi").dropDuplicates(["__row"])
     return single.unionByName(repeated).drop("__row").select(docs.columns)
