@@ -54,12 +54,26 @@ def originals(text: Column) -> Column:
 
 def form(token: Column) -> Column:
     """A token's folded form, without apostrophes and hyphens at its ends; may be empty."""
-    return F.regexp_replace(fold(token), r"^['-]+|['-]+$", "")
+    return F.btrim(fold(token), F.lit("'-"))
+
+
+# signs that folding turns into parts of tokens, or deletes between them
+_MOVES = "[’\u0300-\u036fьъЬЪ]"
+
+
+def raw_forms(text: Column) -> Column:
+    """The forms of originals(text), one for each; may be empty.
+
+    Folding the whole text once gives the same tokens as folding each, but for the few signs that would move their bounds.
+    """
+    at_once = F.transform(F.regexp_extract_all(fold(text), F.lit(TOKEN), F.lit(0)), lambda x: F.btrim(x, F.lit("'-")))
+    each = F.transform(originals(text), form)
+    return F.when(text.rlike(_MOVES), each).otherwise(at_once)
 
 
 def forms(text: Column) -> Column:
     """The forms of a text's tokens."""
-    return F.filter(F.transform(originals(text), form), lambda x: x != "")
+    return F.filter(raw_forms(text), lambda x: x != "")
 
 
 def phrase(text: Column) -> Column:
@@ -76,7 +90,8 @@ def tokens(text: Column) -> Column:
     lengths = F.zip_with(F.slice(seps, 1, F.size(toks)), toks, lambda s, t: F.struct(F.length(s).alias("gap"), F.length(t).alias("n")))
     start = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["gap"] + x["n"])))
     ends = F.slice(start, 2, F.size(toks))
-    pairs = F.zip_with(toks, ends, lambda t, e: F.struct(form(t).alias("form"), t.alias("original"), (e - F.length(t)).alias("start"), e.alias("end")))
+    spots = F.zip_with(toks, ends, lambda t, e: F.struct(t.alias("original"), (e - F.length(t)).alias("start"), e.alias("end")))
+    pairs = F.zip_with(raw_forms(text), spots, lambda f, x: F.struct(f.alias("form"), x["original"].alias("original"), x["start"].alias("start"), x["end"].alias("end")))
     return F.filter(pairs, lambda x: x["form"] != "")
 
 

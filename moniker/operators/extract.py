@@ -51,7 +51,7 @@ def spans(rows: DataFrame, found: str = "found") -> DataFrame:
     """
     rows = rows.withColumn("_o", X.originals(F.col("text"))).withColumn("_g", F.transform(F.split("text", X.TOKEN, -1), F.length))
     # original numbers of the tokens that have forms
-    rows = rows.withColumn("_k", F.filter(F.transform("_o", lambda t, i: F.when(X.form(t) != "", i)), lambda i: i.isNotNull()))
+    rows = rows.withColumn("_k", F.filter(F.transform(X.raw_forms(F.col("text")), lambda f, i: F.when(f != "", i)), lambda i: i.isNotNull()))
     rows = rows.select("doc_id", "_o", "_g", "_k", F.explode(found).alias("m"))
     kept = F.transform(F.slice("_k", F.col("m.first") + 1, F.col("m.last") - F.col("m.first") + 1), lambda i: F.element_at("_o", i + 1))
     at = lambda p: F.element_at("_k", p + 1)
