@@ -1,7 +1,9 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
 A sample of the vectors are reference points ("pivots"): PER_ROOT times the square root of the number of vectors, so that
-both the search for pivots and the lists grow with the power 1.5 of the input. Each vector is described by its NEAREST nearest
+both the search for pivots and the lists grow with the power 1.5 of the input. They are drawn by hash, but none within the cosine APART of
+one drawn before: a large group of near copies would else hold more pivots than a member has nearest ones, and its members would have few in
+common. Where so few directions are apart, there are fewer pivots and longer lists. Each vector is described by its NEAREST nearest
 pivots, nearest first. It is entered in inverted lists of pivots; of two vectors that share at least SHARED pivots, one of the first
 NEAREST - SHARED + 1 by number must be shared, so only those lists are entered, and nothing is lost by it. Within a list
 the pivots that two vectors share are counted; pairs with at least SHARED are verified by their cosine. There is no cap on
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-PER_ROOT, NEAREST, SHARED = 4, 16, 7
+PER_ROOT, NEAREST, SHARED, APART = 4, 16, 7, 0.9
 
 
 def unit(rows: list[bytes]) -> np.ndarray:
@@ -44,6 +46,53 @@ def _clean(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": f["id"][good], "dim": [len(v) for v, g in zip(vectors, good, strict=True) if g], "v": [(v + np.float32(0)).tobytes() for v, g in zip(vectors, good, strict=True) if g]})
 
 
+def apart(x: np.ndarray, taken: np.ndarray, wanted: int) -> np.ndarray:
+    """The pivots taken, and after them the rows, in turn, that are within APART of no pivot before, up to `wanted` in all."""
+    out = np.empty((wanted, x.shape[1]), np.float32)
+    n = len(taken)
+    out[:n] = taken
+    for a in range(0, len(x), 256):
+        part = x[a : a + 256]
+        part = part[~(part @ out[:n].T >= APART).any(1)]
+        near = part @ part.T >= APART
+        own: list[int] = []
+        for i in range(len(part)):
+            if n + len(own) < wanted and not near[i, own].any():
+                own.append(i)
+        out[n : n + len(own)] = part[own]
+        n += len(own)
+        if n == wanted:
+            break
+    return out[:n]
+
+
+def _outside(taken: np.ndarray):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for a in range(0, len(f), 2048):
+                part = f.iloc[a : a + 2048]
+                yield part[~(unit(part["v"].tolist()) @ taken.T >= APART).any(axis=1)]
+
+    return run
+
+
+def draw(vectors: DataFrame, dim: int, wanted: int, seed: int) -> np.ndarray:
+    """Pivots out of a column v of distinct vectors of one length, fewer than wanted only if no other vector is apart from them.
+
+    Twice the wanted number, by hash, come to the driver at once; mostly that suffices. If not, the next ones come from what is apart from
+    the pivots so far.
+    """
+    taken, left = np.zeros((0, dim), np.float32), vectors
+    while len(taken) < wanted:
+        drawn = left.orderBy(F.xxhash64(F.lit(seed), "v")).limit(2 * wanted).collect()
+        more = apart(unit([x["v"] for x in drawn]), taken, wanted) if drawn else taken
+        if len(more) == len(taken) or len(drawn) < 2 * wanted:
+            return more
+        taken = more
+        left = vectors.mapInPandas(_outside(taken), "v binary")
+    return taken
+
+
 def describe(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """The numbers of each row's nearest pivots, nearest first; ties go to the lower number."""
     k = min(NEAREST, len(pivots))
@@ -110,8 +159,7 @@ def near_duplicates(embeddings: DataFrame, *, threshold: float = 0.95, seed: int
     pivots: dict[int, np.ndarray] = {}
     for r in one.groupBy("dim").count().collect():  # a row a length of vectors
         wanted = max(NEAREST, round(PER_ROOT * math.sqrt(r["count"])))
-        drawn = one.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64(F.lit(seed), "v")).limit(wanted).select("v").collect()
-        pivots[r["dim"]] = unit([x["v"] for x in drawn])
+        pivots[r["dim"]] = draw(one.where(F.col("dim") == r["dim"]).select("v"), r["dim"], wanted, seed)
     lists = one.select("dim", "rid", "v").mapInPandas(_enter(pivots), "dim long, pivot long, rid long, near binary, v binary")
     found = lists.groupBy("dim", "pivot").applyInPandas(_within(threshold, {k: len(p) for k, p in pivots.items()}), "a long, b long, cosine double")
     name = one.select("rid", "id")

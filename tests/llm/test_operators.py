@@ -7,6 +7,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -319,6 +320,35 @@ def test_near_vectors_against_brute_force(spark):
     assert len(found & want) >= 0.9 * len(want) > 250 and found <= want | {p for p in found if s[p] > 0.9499}
 
 
+@pytest.mark.parametrize("noise", [0.1, 0.2])
+def test_near_vectors_in_a_large_group(spark, noise):
+    """Thousands of near copies (cosines of about .99 and .96 among them) in a table of 12,000."""
+    g = np.random.default_rng(5)
+    x = g.normal(size=(12_000, 64))
+    x[:2500] = g.normal(size=64) + g.normal(size=(2500, 64)) * noise
+    x = x.astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
+    got = pivots.near_duplicates(df).select(F.countDistinct("vec_a", "vec_b").alias("pairs"), F.count(F.lit(1)).alias("rows"), F.min("cosine").alias("least")).first()
+    u = x[:2500] / np.linalg.norm(x[:2500], axis=1, keepdims=True)
+    want = int(np.triu(u @ u.T >= 0.95, 1).sum())
+    assert got["pairs"] == got["rows"] and got["least"] >= 0.95 and 0.99 * want <= got["pairs"] <= want + 10, (got, want)
+
+
+def test_pivots_are_apart(spark):
+    g = np.random.default_rng(6)
+    x = g.normal(size=(900, 8)).astype(np.float32)
+    x[:600] = x[0] + g.normal(size=(600, 8)) * 0.05
+    x[600] *= -1
+    df = spark.createDataFrame([(v.tobytes(),) for v in x], "v binary")
+    u = pivots.unit([v.tobytes() for v in x])
+    for wanted in (20, 60, 900):  # within a draw, in several, more than there are
+        p = pivots.draw(df, 8, wanted, 7)
+        s = p @ p.T
+        np.fill_diagonal(s, 0)
+        assert s.max() < pivots.APART and (len(p) == wanted or ((u @ p.T).max(1) > pivots.APART - 1e-5).all())
+    assert len(pivots.draw(df.limit(0), 8, 16, 7)) == 0
+
+
 def test_near_vectors_odd(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (None, [1.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [None, 1.0]), (7, [float("nan"), 1.0]), (8, [1.0, 0.0, 0.0]), (9, [0.0, 1.0]), (9, [0.0, 1.0]), (1, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rid", F.lit(1)).withColumn("dim", F.lit("x"))
