@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from . import common as C
 
 EXAMPLE_OWNERS, LEAST_VARIETY = 8, 6
-# forms that need no name, then a named value; none uses what Java's and RE2's syntax differ in
-FORMS = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[0-9A-Za-z-]{10,72}|AIza[0-9A-Za-z_-]{35}|sk-[A-Za-z0-9_-]{20,72}|eyJ[A-Za-z0-9_-]{10,400}\.[A-Za-z0-9_-]{10,400}\.[A-Za-z0-9_-]{10,400}"
-NAMED = r"(?i:token|secret|passwd|password|api_?key|access_?key|auth_?key|credential|private_?key)[\"']{0,1}[ \t]{0,3}[:=][ \t]{0,3}[\"']{0,1}([A-Za-z0-9+/=_.-]{16,200})"
+# forms that need no name, then a named value; none uses what Java's and RE2's syntax differ in. Lengths have no upper bound where the form
+# sets none: what is cut off a credential would be counted as another one and stay in the text
+FORMS = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|sk-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"
+NAMED = r"(?i:token|secret|passwd|password|api_?key|access_?key|auth_?key|credential|private_?key)[\"']{0,1}[ \t]{0,3}[:=][ \t]{0,3}[\"']{0,1}([A-Za-z0-9+/=_.-]{16,})"
 DUMMY = r"(?i)example|placeholder|changeme|your_|xxxx|0000000|1234567|abcdefg"
 REDACTED = "[SECRET]"
 
@@ -88,11 +89,14 @@ def _groupable(docs: DataFrame) -> bool:
     return not any("map<" in kind for _, kind in docs.dtypes)
 
 
-_QUOTED = NAMED.replace("'", "''")
+# the SQL has upper bounds still: it gives the same where no credential is longer
+_SQL_FORMS = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[0-9A-Za-z-]{10,72}|AIza[0-9A-Za-z_-]{35}|sk-[A-Za-z0-9_-]{20,72}|eyJ[A-Za-z0-9_-]{10,400}\.[A-Za-z0-9_-]{10,400}\.[A-Za-z0-9_-]{10,400}"
+_SQL_NAMED = r"(?i:token|secret|passwd|password|api_?key|access_?key|auth_?key|credential|private_?key)[\"']{0,1}[ \t]{0,3}[:=][ \t]{0,3}[\"']{0,1}([A-Za-z0-9+/=_.-]{16,200})"
+_QUOTED = _SQL_NAMED.replace("'", "''")
 SQL = f"""
 with found as (
   select distinct doc_id, source, lang, value from (
-    select doc_id, source, lang, unnest(list_concat(regexp_extract_all(text, '(?:{FORMS})'), regexp_extract_all(text, '{_QUOTED}', 1))) as value from documents)
+    select doc_id, source, lang, unnest(list_concat(regexp_extract_all(text, '(?:{_SQL_FORMS})'), regexp_extract_all(text, '{_QUOTED}', 1))) as value from documents)
 )
 select md5(value) as secret_hash, length(value) as n_chars, count(distinct coalesce('1' || doc_id, '0')) as n_docs,
        count(distinct concat_ws('/', source, lang)) as n_repos, count(distinct coalesce('1' || source, '0')) as n_owners,

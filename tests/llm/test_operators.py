@@ -126,6 +126,22 @@ def test_secrets(spark):
     assert len(red) == len(rows) and live not in red[1] and secrets.REDACTED in red[1] and live not in red[2] and red[10] == rows[5][1] and red[5] == rows[4][1]
 
 
+def test_long_secrets(spark):
+    """Nothing is left of long credentials, and those with a common beginning are told apart."""
+    r = random.Random(11)
+    key = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    begin = key(220)
+    long = [f"eyJ{key(33)}.eyJ{key(697)}.{key(342)}", f"eyJ{key(33)}.{key(90)}.{key(683)}", f"eyJ{key(450)}.{key(20)}.{key(43)}", f"sk-{key(161)}", f"ghp_{key(80)}", f"xoxb-{key(120)}"]
+    named = [key(344), key(1500), begin + key(30), begin + key(30)]
+    texts = [f"see {v} there" for v in long] + [f'token = "{v}" there' for v in long] + [f"password: {v} there" for v in named]
+    docs = spark.createDataFrame([(i, t, "en", "s0", 1) for i, t in enumerate(texts)], SCHEMA)
+    got = {x["doc_ids"]: (x["n_chars"], x["verdict"]) for x in secrets.scan(docs).collect()}
+    want = {f"{i},{i + len(long)}": (len(v), "live") for i, v in enumerate(long)} | {str(2 * len(long) + i): (len(v), "live") for i, v in enumerate(named)}
+    assert got == want
+    red = [x["text"] for x in secrets.redact(docs).orderBy("doc_id").collect()]
+    assert red == ["see [SECRET] there"] * len(long) + ['token = "[SECRET]" there'] * len(long) + ["password: [SECRET] there"] * len(named)
+
+
 def test_secrets_odd(odd, none):
     assert secrets.scan(odd).count() == 0 == secrets.scan(none).count()
     assert Counter(pairs_of(secrets.redact(odd))) == Counter(pairs_of(odd)) and secrets.redact(none).count() == 0
