@@ -7,7 +7,8 @@ target was read, whether a negation is near, whether speech is reported. They ar
 ends of clauses carry the factor of the whole clause:
 
 * an insult counts its weight, within NEAR words after a negation only NEGATED of it, in reported speech REPORTED of it;
-* a clause with a target counts AIMED times; a threat counts only if a target follows it in the clause;
+* a clause with a target counts AIMED times; a threat counts only if a target follows it in the clause; an insult that is an ordinary word as
+  well (AMBIGUOUS, unless fitted as a lexeme) counts only in a clause with a target, other insults also without one;
 * a clause's score is the sum; a document's score is the sum of its clauses' and it is flagged from LEAST on.
 
 The lexicon has a small dictionary, and lexemes fitted on labelled documents, at most SAMPLE toxic and CLEAN others (those of least hash
@@ -37,10 +38,12 @@ from . import common as C
 
 SAMPLE, CLEAN, SUPPORT, ODDS, CHANCE, EXPLAINED, LEAST = 3000, 20_000, 4, 3.5, 0.05, 0.7, 0.9
 NEAR, NEGATED, REPORTED, AIMED, CERTAIN = 2, 0.2, 0.3, 1.5, 1.0
-WORD, INSULT, THREAT, TARGET, NEGATION, SAYING, QUOTE, COMMA, STOP = range(9)
+WORD, INSULT, THREAT, TARGET, NEGATION, SAYING, QUOTE, COMMA, STOP, AMBIGUOUS = range(10)
+WEIGHTED = (INSULT, THREAT, AMBIGUOUS)
 
 DICTIONARY = {
-    INSULT: "idiot idiots moron morons stupid worthless pathetic scum loser losers trash disgusting clown clowns imbecile dumbass bastard arschloch vollidiot crétin connard imbécile idiota estúpido",
+    INSULT: "idiot idiots moron morons imbecile dumbass bastard arschloch vollidiot crétin connard imbécile idiota estúpido",
+    AMBIGUOUS: "stupid worthless pathetic scum loser losers trash disgusting clown clowns",
     THREAT: "kill murder destroy strangle töten umbringen tuer matar",
     TARGET: "you your yourself u he she they him her them this these those dich dir du ihr ihn sie tu toi vous ils elle él ella usted ustedes",
     NEGATION: "not never no isn't aren't wasn't don't won't nicht kein keine niemals jamais nunca",
@@ -58,7 +61,7 @@ class Transducer:
 
 
 def _insult(s: int, x: int) -> tuple[int, float]:
-    return (0, 1.0) if x in (COMMA, STOP) else (1 if x == INSULT else s, 1.0)
+    return (0, 1.0) if x in (COMMA, STOP) else (1 if x in (INSULT, AMBIGUOUS) else s, 1.0)
 
 
 def _threat(s: int, x: int) -> tuple[int, float]:
@@ -80,12 +83,12 @@ def _negation(s: int, x: int) -> tuple[int, float]:
         return 0, 1.0
     if x == NEGATION:
         return NEAR, 1.0
-    return (s if x == QUOTE else max(0, s - 1)), NEGATED if s and x in (INSULT, THREAT) else 1.0
+    return (s if x == QUOTE else max(0, s - 1)), NEGATED if s and x in WEIGHTED else 1.0
 
 
 def _reported(s: int, x: int) -> tuple[int, float]:
     """1: a verb of saying reaches to the end of the sentence. 2: quotation marks that it opened reach to the closing ones."""
-    factor = REPORTED if s and x in (INSULT, THREAT) else 1.0
+    factor = REPORTED if s and x in WEIGHTED else 1.0
     if x == QUOTE:
         return {0: 0, 1: 2, 2: 0}[s], factor
     if x == STOP:
@@ -96,14 +99,14 @@ def _reported(s: int, x: int) -> tuple[int, float]:
 PARTS = [Transducer(0, f) for f in (_insult, _threat, _target, _negation, _reported)]
 
 
-def compose(parts: list[Transducer]) -> tuple[list[list[int]], list[list[float]], list[bool]]:
-    """next[state][symbol] and factor[state][symbol] of the product machine, and whether a state's threat has its target."""
+def compose(parts: list[Transducer]) -> tuple[list[list[int]], list[list[float]], list[bool], list[bool]]:
+    """next[state][symbol] and factor[state][symbol] of the product machine, whether a state's threat has its target, and whether its clause has one."""
     start = tuple(p.start for p in parts)
     number, todo, nxt, factor = {start: 0}, [start], [], []
     while len(nxt) < len(todo):
         state = todo[len(nxt)]
         row, row_f = [], []
-        for x in range(9):
+        for x in range(10):
             to, f = zip(*[p.step(s, x) for p, s in zip(parts, state, strict=True)], strict=True)
             if to not in number:
                 number[to] = len(todo)
@@ -112,10 +115,10 @@ def compose(parts: list[Transducer]) -> tuple[list[list[int]], list[list[float]]
             row_f.append(float(np.prod(f)))
         nxt.append(row)
         factor.append(row_f)
-    return nxt, factor, [s[1] == 2 for s in todo]
+    return nxt, factor, [s[1] == 2 for s in todo], [s[2] == 1 for s in todo]
 
 
-NEXT, FACTOR, AIMED_THREAT = compose(PARTS)
+NEXT, FACTOR, AIMED_THREAT, AIMED_CLAUSE = compose(PARTS)
 
 
 class Reader:
@@ -124,12 +127,16 @@ class Reader:
     def __init__(self, lexicon: Lexicon):
         self.symbols = {w: (k, CERTAIN) for k, ws in DICTIONARY.items() for w in ws.split()}
         for w, weight in lexicon["word"].items():
-            self.symbols.setdefault(w, (INSULT, weight))
+            if self.symbols.get(w, (AMBIGUOUS,))[0] == AMBIGUOUS:
+                self.symbols[w] = (INSULT, weight)
         self.beginnings = lexicon["beginning"]
         self.lengths = sorted({len(b) for b in self.beginnings})
+        for w in DICTIONARY[AMBIGUOUS].split():
+            if self.symbols[w][0] == AMBIGUOUS and any(w[:n] in self.beginnings for n in self.lengths):
+                del self.symbols[w]
         self.marks = {"\n": STOP, ".": STOP, "!": STOP, "?": STOP, ",": COMMA, ";": COMMA, ":": COMMA} | dict.fromkeys('"“”«»„', QUOTE)
         # what a text must have for any score: gates most texts out before they are read as symbols
-        heads = sorted({w for w, (k, _) in self.symbols.items() if k in (INSULT, THREAT)} | set(self.beginnings))
+        heads = sorted({w for w, (k, _) in self.symbols.items() if k in WEIGHTED} | set(self.beginnings))
         self.gate = ahocorasick.Automaton()
         for w in heads:
             self.gate.add_word(w, len(w))
@@ -156,7 +163,7 @@ class Reader:
         low = text.lower()
         if not self.may_score(low):
             return 0.0, 0
-        total, clauses, state, insult, threat = 0.0, 0, 0, 0.0, 0.0
+        total, clauses, state, insult, threat, ambiguous = 0.0, 0, 0, 0.0, 0.0, 0.0
         for token in [*_TOKEN.findall(low), "\n"]:
             x, weight = self.symbol(token)
             f = FACTOR[state][x]
@@ -164,12 +171,14 @@ class Reader:
                 insult += weight * f
             elif x == THREAT:
                 threat += weight * f
+            elif x == AMBIGUOUS:
+                ambiguous += weight * f
             elif x in (COMMA, STOP):
-                s = (insult + (threat if AIMED_THREAT[state] else 0.0)) * f
+                s = (insult + (threat if AIMED_THREAT[state] else 0.0) + (ambiguous if AIMED_CLAUSE[state] else 0.0)) * f
                 if s > 0:
                     total += s
                     clauses += 1
-                insult = threat = 0.0
+                insult = threat = ambiguous = 0.0
             state = NEXT[state][x]
         return total, clauses
 

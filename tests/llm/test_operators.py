@@ -297,6 +297,17 @@ def test_grammar():
         assert abs(r.score(t)[0] - naive_score(t, r)) < 1e-9, t
 
 
+def test_ambiguous_words_need_a_target():
+    r = toxicity.Reader(NO_LEXEMES)
+    for t in ("take out the trash", "Take out the trash. More trash, a clown.", "stupid. You", "you are not trash", "the trash; you"):
+        assert r.score(t)[0] < toxicity.LEAST, t
+    for t in ("You are trash.", "trash, that is what they are, trash like you", "an idiot", "such a moron"):
+        assert r.score(t)[0] >= toxicity.LEAST, t
+    # fitted, they count as other lexemes do
+    for lexicon in ({"word": {"trash": 1.0}, "beginning": {}}, {"word": {}, "beginning": {"tras": 1.0}}):
+        assert toxicity.Reader(lexicon).score("such trash")[0] >= toxicity.LEAST
+
+
 def test_toxicity_held_out(spark):
     docs, labels = C.table(spark, f"{DATA}/sf0.1", "documents"), C.table(spark, f"{DATA}/sf0.1", "labels")
     lexicon = toxicity.fitted(docs, labels.where("doc_id % 2 = 0"))
