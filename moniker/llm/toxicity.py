@@ -9,6 +9,8 @@ ends of clauses carry the factor of the whole clause:
 * an insult counts its weight, within NEAR words after a negation only NEGATED of it, in reported speech REPORTED of it;
 * a clause with a target counts AIMED times; a threat counts only if a target follows it in the clause; an insult that is an ordinary word as
   well (AMBIGUOUS, unless fitted as a lexeme) counts only in a clause with a target, other insults also without one;
+* reported speech reaches to the end of the sentence, or, in quotation marks after a verb of saying, to the closing mark. A mark with no other
+  after it in its paragraph (blank lines part them) opens nothing;
 * a clause's score is the sum; a document's score is the sum of its clauses' and it is flagged from LEAST on.
 
 The lexicon has a small dictionary, and lexemes fitted on labelled documents, at most SAMPLE toxic and CLEAN others (those of least hash
@@ -38,7 +40,7 @@ from . import common as C
 
 SAMPLE, CLEAN, SUPPORT, ODDS, CHANCE, EXPLAINED, LEAST = 3000, 20_000, 4, 3.5, 0.05, 0.7, 0.9
 NEAR, NEGATED, REPORTED, AIMED, CERTAIN = 2, 0.2, 0.3, 1.5, 1.0
-WORD, INSULT, THREAT, TARGET, NEGATION, SAYING, QUOTE, COMMA, STOP, AMBIGUOUS = range(10)
+WORD, INSULT, THREAT, TARGET, NEGATION, SAYING, QUOTE, COMMA, STOP, AMBIGUOUS, LAST = range(11)
 WEIGHTED = (INSULT, THREAT, AMBIGUOUS)
 
 DICTIONARY = {
@@ -49,7 +51,8 @@ DICTIONARY = {
     NEGATION: "not never no isn't aren't wasn't don't won't nicht kein keine niemals jamais nunca",
     SAYING: "said says say claimed claims wrote writes called quoted sagte sagt dit disait dijo dice",
 }
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?\n]|[,;:]|[\"“”«»„]")
+# the empty token comes before a paragraph's last quotation mark
+_TOKEN = re.compile(r"(?=[\"“”«»„](?:[^\"“”«»„\n]|\n(?![^\S\n]*\n))*+(?:\n|\Z))|[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?\n]|[,;:]|[\"“”«»„]")
 Lexicon = dict[str, dict[str, float]]
 
 
@@ -83,14 +86,16 @@ def _negation(s: int, x: int) -> tuple[int, float]:
         return 0, 1.0
     if x == NEGATION:
         return NEAR, 1.0
-    return (s if x == QUOTE else max(0, s - 1)), NEGATED if s and x in WEIGHTED else 1.0
+    return (s if x in (QUOTE, LAST) else max(0, s - 1)), NEGATED if s and x in WEIGHTED else 1.0
 
 
 def _reported(s: int, x: int) -> tuple[int, float]:
-    """1: a verb of saying reaches to the end of the sentence. 2: quotation marks that it opened reach to the closing ones."""
+    """1: a verb of saying reaches to the end of the sentence. 2: quotation marks that it opened reach to the closing ones. 3: as 1, but the mark that comes is the paragraph's last and opens nothing."""
     factor = REPORTED if s and x in WEIGHTED else 1.0
+    if x == LAST:
+        return 3 if s == 1 else s, factor
     if x == QUOTE:
-        return {0: 0, 1: 2, 2: 0}[s], factor
+        return {0: 0, 1: 2, 2: 0, 3: 1}[s], factor
     if x == STOP:
         return (2 if s == 2 else 0), factor
     return (max(s, 1), factor) if x == SAYING else (s, factor)
@@ -106,7 +111,7 @@ def compose(parts: list[Transducer]) -> tuple[list[list[int]], list[list[float]]
     while len(nxt) < len(todo):
         state = todo[len(nxt)]
         row, row_f = [], []
-        for x in range(10):
+        for x in range(11):
             to, f = zip(*[p.step(s, x) for p, s in zip(parts, state, strict=True)], strict=True)
             if to not in number:
                 number[to] = len(todo)
@@ -134,7 +139,7 @@ class Reader:
         for w in DICTIONARY[AMBIGUOUS].split():
             if self.symbols[w][0] == AMBIGUOUS and any(w[:n] in self.beginnings for n in self.lengths):
                 del self.symbols[w]
-        self.marks = {"\n": STOP, ".": STOP, "!": STOP, "?": STOP, ",": COMMA, ";": COMMA, ":": COMMA} | dict.fromkeys('"“”«»„', QUOTE)
+        self.marks = {"\n": STOP, ".": STOP, "!": STOP, "?": STOP, ",": COMMA, ";": COMMA, ":": COMMA} | dict.fromkeys('"“”«»„', QUOTE) | {"": LAST}
         # what a text must have for any score: gates most texts out before they are read as symbols
         heads = sorted({w for w, (k, _) in self.symbols.items() if k in WEIGHTED} | set(self.beginnings))
         self.gate = ahocorasick.Automaton()

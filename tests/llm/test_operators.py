@@ -308,6 +308,18 @@ def test_ambiguous_words_need_a_target():
         assert toxicity.Reader(lexicon).score("such trash")[0] >= toxicity.LEAST
 
 
+def test_reported_speech_ends():
+    """A quotation mark without another in its paragraph doesn't damp what follows."""
+    r = toxicity.Reader(NO_LEXEMES)
+    flagged = lambda t: r.score(t)[0] >= toxicity.LEAST
+    rest = " The pipe held. " * 50
+    for t in ('He said a 5" pipe.' + rest + "You are an idiot.", 'He said "it broke.\n\nYou are an idiot.', 'She wrote "a" and said "b.' + rest + "\n \n" + rest + 'You are an idiot, "sir".', 'He said "x". You are an idiot, "sir"'):
+        assert flagged(t), t
+    for t in ('He said "you are an idiot".', 'He said "it is so. You are an idiot. Go". Good.', 'He said "it is\nso. You are\nan idiot".', 'He said 5" pipe you idiot.', '"A", he said. "B"\n\nShe said "so. You idiot."\n'):
+        assert not flagged(t), t
+    assert [t for t in toxicity._TOKEN.findall('a "b" c\n\n"d') if t in ("", '"')] == ['"', "", '"', "", '"']
+
+
 def test_toxicity_held_out(spark):
     docs, labels = C.table(spark, f"{DATA}/sf0.1", "documents"), C.table(spark, f"{DATA}/sf0.1", "labels")
     lexicon = toxicity.fitted(docs, labels.where("doc_id % 2 = 0"))
