@@ -29,27 +29,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if there is None:
-        there = f"file://{tempfile.mkdtemp(prefix='moniker-')}"
-        spark.conf.set("spark.checkpoint.dir", there)
-    return there
+    """The folder named in spark.checkpoint.dir or set by setCheckpointDir. Where neither is set, a temporary one, if all
+    runs on this machine; on a cluster that is an error, as executors wouldn't see each other's files."""
+    sc = spark.sparkContext
+    there = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if there:
+        return there
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if sc.applicationId not in _LOCAL:
+        _LOCAL[sc.applicationId] = f"file://{tempfile.mkdtemp(prefix='moniker-')}"
+    return _LOCAL[sc.applicationId]
+
+
+def _path(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def cut(df: DataFrame, *, by: tuple[str, ...] = ()) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Writes df to a table in the shared folder and reads it back, so that lost executors cost no recomputation.
 
-    The table goes when the JVM of the driver ends.
+    The table goes by discard(), or when the JVM of the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
     df.write.parquet(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    files, at = _path(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that cut() gave, once nothing that is still to run reads them."""
+    for df in tables:
+        files, at = _path(df.sparkSession, df._cut)
+        files.delete(at, True)
+
+
+def free(df: DataFrame, name: str) -> str:
+    """name, lengthened until no column of df has it (names are compared without regard to case)."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:

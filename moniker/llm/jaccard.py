@@ -2,18 +2,22 @@
 
 The n-grams of a text are its runs of `n` lower-case words (runs of letters and digits); a text with fewer words has one
 n-gram, all its words. Texts without words match nothing. Two texts match if the Jaccard similarity of their n-gram sets
-is at least `threshold`. Texts with equal sets match with similarity 1.
+is at least `threshold`. Texts with equal sets match.
 
-Method: (1) one pass over the texts gives for each a hash of its n-gram set and `HASHES` MinHash values; (2) one text
+Method: (1) one pass over the texts gives for each two hashes of its n-gram set and `HASHES` MinHash values of 16 bits; (2) one text
 stands for all with the same set, so copies cost nothing further; (3) texts that agree in a band of MinHash values meet
 in a bucket, where pairs are compared `STEP` values at a time: with m of k values equal and a uniform prior, the similarity
 has the posterior Beta(m + 1, k - m + 1), and a pair whose posterior probability of reaching the threshold is below
-`tolerance` is dropped; (4) pairs that are left are verified against their full n-gram sets. A pair is compared in the
-first bucket that it shares only. There is no cap on buckets or partners.
+`tolerance` is dropped; (4) where the pairs that are left connect texts, all pairs of the connected ones are
+verified against their full n-gram sets. No pairs are written: see links.py, also for groups and buckets of any size. There is no
+cap on buckets or partners.
+
+Sets are told apart by 64 bits, and copies are such only if 32 further bits agree. The search is approximate: a pair that shares no band,
+or is dropped wrongly, is missed unless other matches connect it. The tests hold the recall against brute force.
 
 Nulls, ties, repeats: a null or empty text has no words. Rows with equal text match each other, whether or not their ids
 are equal; rows are told apart by (id, text), so fully repeated rows count as one. A null id is an id like others. An empty
-table gives an empty result. Other columns of the input are ignored.
+table gives an empty result. Other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import links
 
 HASHES, ROWS, STEP = 63, 3, 21
 BANDS = HASHES // ROWS
@@ -60,9 +65,9 @@ def ngram_sets(strings: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def minhashes(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """HASHES values of 32 bits for each set that isn't empty."""
+    """HASHES values for each set that isn't empty: the low 16 bits of least hashes of 32."""
     starts = offsets[:-1][np.diff(offsets) > 0]
-    out = np.empty((len(starts), HASHES), np.uint32)
+    out = np.empty((len(starts), HASHES), np.uint16)
     if len(starts):
         for k in range(HASHES):
             out[:, k] = np.minimum.reduceat((((h ^ B[k]) * A[k]) >> np.uint64(32)).astype(np.uint32), starts)
@@ -76,11 +81,13 @@ def _signatures(n: int):
             some = np.flatnonzero(np.diff(offsets) > 0)
             if not len(some):
                 continue
-            total = np.r_[np.uint64(0), np.cumsum(C.mix64(h), dtype=np.uint64)]
-            rid = C.mix64(total[offsets[some + 1]] - total[offsets[some]]).view(np.int64)
+            of = lambda x: (t := np.r_[np.uint64(0), np.cumsum(x, dtype=np.uint64)])[offsets[some + 1]] - t[offsets[some]]  # noqa: E731, B023
+            rid = C.mix64(of(C.mix64(h))).view(np.int64)
+            proof = (C.mix64(of(C.mix64(h ^ A[0]))) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             sig = minhashes(h, offsets)
             at = pa.array(some)
-            yield pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("row").take(at), pa.array(rid), pa.array([r.tobytes() for r in sig], pa.binary())], ["id", "row", "rid", "sig"])
+            columns = [b.column("id").take(at), b.column("row").take(at), pa.array(rid), pa.array(proof), pa.array(np.diff(offsets)[some].astype(np.int64)), pa.array([r.tobytes() for r in sig], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "row", "rid", "proof", "grams", "sig"])
 
     return run
 
@@ -97,118 +104,103 @@ def least_matches(threshold: float, tolerance: float) -> dict[int, int]:
     return out
 
 
-def prune(sig: np.ndarray, least: dict[int, int], band: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i < j) of the rows of one bucket of this band that survive; pairs that share an earlier band are left to it."""
-    left, right = [], []
-    n = len(sig)
-    for i in range(n - 1):
-        j = np.arange(i + 1, n)
-        m = np.zeros(len(j), np.int32)
-        for at in range(0, HASHES, STEP):
-            same = sig[j, at : at + STEP] == sig[i, at : at + STEP]
-            m = m + same.sum(1)
-            keep = m >= least[at + STEP]
-            for k in range(at // ROWS, min((at + STEP) // ROWS, band)):
-                keep &= ~same[:, k * ROWS - at : (k + 1) * ROWS - at].all(1)
-            j, m = j[keep], m[keep]
-            if not len(j):
-                break
-        left.append(np.full(len(j), i))
-        right.append(j)
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
-
-
-def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Groups of whole buckets out of batches that are sorted by bucket."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        k = b.column(key).to_numpy(zero_copy_only=False)
-        new = np.flatnonzero(k[1:] != k[:-1])
-        if held and held[-1].column(key)[-1].as_py() != k[0]:
-            yield pa.Table.from_batches(held)
-            held = []
-        if not len(new):
-            held.append(b)
-            continue
-        cut = int(new[-1]) + 1
-        yield pa.Table.from_batches([*held, b.slice(0, cut)])
-        held = [b.slice(cut)]
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _compare(threshold: float, tolerance: float):
-    least = least_matches(threshold, tolerance)
+class Signatures:
+    """MinHash signatures, compared step by step."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches, "bucket"):
-            bucket = t.column("bucket").to_numpy()
-            band = t.column("band").to_numpy()
-            rid = t.column("rid").to_numpy()
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
-            edge = np.r_[0, np.flatnonzero((bucket[1:] != bucket[:-1])) + 1, len(bucket)]
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            size = np.diff(edge)
-            two = edge[:-1][size == 2]
-            if len(two):  # most buckets: all at once
-                same = sig[two] == sig[two + 1]
-                ok = np.ones(len(two), bool)
-                m = np.zeros(len(two), np.int64)
-                for at in range(0, HASHES, STEP):
-                    m += same[:, at : at + STEP].sum(1)
-                    ok &= m >= least[at + STEP]
-                bands = same.reshape(len(two), BANDS, ROWS).all(2)
-                ok &= np.argmax(bands, 1) == band[two]
-                two = two[ok]
-                out.append((bucket[two], rid[two], rid[two + 1]))
-            for a, z in zip(edge[:-1][size > 2], edge[1:][size > 2], strict=True):
-                i, j = prune(sig[a:z], least, int(band[a]))
-                out.append((np.full(len(i), bucket[a]), rid[a + i], rid[a + j]))
-            for x, a, b in out:
-                for at in range(0, len(x), 1 << 18):
-                    lo, hi = np.minimum(a, b)[at : at + (1 << 18)], np.maximum(a, b)[at : at + (1 << 18)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 18)]), pa.array(lo), pa.array(hi)], ["bucket", "a", "b"])
+    def __init__(self, raw: list[bytes], least: dict[int, int]) -> None:
+        self.sig, self.least = np.frombuffer(b"".join(raw), np.uint16).reshape(-1, HASHES), least
 
-    return run
+    def _compare(self, n: int, left: object, right: object) -> np.ndarray:
+        """left and right give STEP values, from a column on, of the pairs numbered."""
+        live, m = np.arange(n), np.zeros(n, np.int64)
+        for at in range(0, HASHES, STEP):
+            m = m + (left(live, at) == right(live, at)).sum(1)
+            keep = m >= self.least[at + STEP]
+            live, m = live[keep], m[keep]
+        out = np.zeros(n, bool)
+        out[live] = True
+        return out
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self._compare(len(a), lambda k, at: self.sig[a[k], at : at + STEP], lambda k, at: self.sig[b[k], at : at + STEP])
+
+    def many(self, i: int, others: np.ndarray) -> np.ndarray:
+        return self._compare(len(others), lambda _, at: self.sig[i, at : at + STEP][None], lambda k, at: self.sig[others[k], at : at + STEP])
+
+
+class Sets:
+    """Exact comparison of sets of hashes, each ascending. Sets become rows of bits over the hashes that several of them have."""
+
+    CHUNK = 1 << 16
+
+    def __init__(self, threshold: float) -> None:
+        self.threshold = threshold
+
+    def _bits(self, sets: list[np.ndarray]) -> Iterator[np.ndarray]:
+        every = np.concatenate(sets)
+        values, at, n = np.unique(every, return_inverse=True, return_counts=True)
+        number = np.cumsum(n > 1) - 1
+        shared = n[at] > 1
+        row, column = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[shared], number[at][shared]
+        width = int((n > 1).sum())
+        for a in range(0, width, self.CHUNK):
+            w = min(self.CHUNK, width - a)
+            here = (column >= a) & (column < a + w)
+            bits = np.zeros((len(sets), -(-w // 64) * 64), bool)
+            bits[row[here], column[here] - a] = True
+            yield np.packbits(bits, axis=1).view(np.uint64)
+
+    def among(self, raw: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+        sets = [np.frombuffer(x, np.uint64) for x in raw]
+        if len(sets) == 2:
+            both = np.concatenate(sets)
+            both.sort()
+            shared = int((both[1:] == both[:-1]).sum())
+            if shared / (len(both) - shared) >= self.threshold:
+                yield 0, np.array([1])
+        elif len(sets) > 2:
+            yield from self._linked(sets, range(len(sets) - 1), lambda i: np.arange(i + 1, len(sets)))
+
+    def between(self, left: list[bytes], right: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+        sets = [np.frombuffer(x, np.uint64) for x in [*left, *right]]
+        others = np.arange(len(left), len(sets))
+        for i, hits in self._linked(sets, range(len(left)), lambda _: others):
+            yield i, hits - len(left)
+
+    def _linked(self, sets: list[np.ndarray], rows: range, others: object) -> Iterator[tuple[int, np.ndarray]]:
+        size = np.array([len(x) for x in sets])
+        chunks = self._bits(sets)
+        shared = [np.zeros(len(others(i)), np.int64) for i in rows]
+        for bits in chunks:
+            for k, i in enumerate(rows):
+                j = others(i)
+                shared[k] += np.bitwise_count(bits[j[0] : j[-1] + 1] & bits[i]).sum(1, dtype=np.int64)
+        for k, i in enumerate(rows):
+            j = others(i)
+            hits = j[shared[k] / (size[i] + size[j] - shared[k]) >= self.threshold]
+            if len(hits):
+                yield i, hits
+
+    def tight(self, centre: bytes, raw: list[bytes]) -> np.ndarray:
+        """Whether the distance 1 - similarity from the centre is at most half of 1 - threshold."""
+        c = np.frombuffer(centre, np.uint64)
+        out = np.zeros(len(raw), bool)
+        for k, x in enumerate(raw):
+            x = np.frombuffer(x, np.uint64)
+            at = np.minimum(np.searchsorted(c, x), len(c) - 1)
+            shared = int((c[at] == x).sum())
+            out[k] = 2 * shared >= (1 + self.threshold) * (len(c) + len(x) - shared)
+        return out
 
 
 def _sets(n: int):
+    kept = ["rid", "label", "m", "bytes", "g", "home"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.pieces(batches, "text"):
             h, offsets = ngram_sets(b.column("text"), n)
             raw = [h[offsets[i] : offsets[i + 1]].tobytes() for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(raw, pa.binary())], ["rid", "grams"])
-
-    return run
-
-
-def _verify(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches, "bucket"):
-            bucket = t.column("bucket").to_numpy()
-            rid, grams, partners = t.column("rid").to_numpy(), t.column("grams"), t.column("partners")
-            edge = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)]
-            a_out, b_out, s_out = [], [], []
-            for a, z in zip(edge[:-1], edge[1:], strict=True):
-                sets = {int(rid[i]): np.frombuffer(grams[int(i)].as_py(), np.uint64) for i in range(a, z)}
-                for i in range(a, z):
-                    to = partners[int(i)].as_py()
-                    if not to:
-                        continue
-                    mine = sets[int(rid[i])]
-                    for other in to:
-                        theirs = sets[other]
-                        both = np.concatenate([mine, theirs])
-                        both.sort()
-                        shared = int((both[1:] == both[:-1]).sum())
-                        s = shared / (len(both) - shared)
-                        if s >= threshold:
-                            a_out.append(int(rid[i]))
-                            b_out.append(other)
-                            s_out.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64()), pa.array(s_out, pa.float64())], ["a", "b", "similarity"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(raw, pa.binary())], [*kept, "contents"])
 
     return run
 
@@ -219,75 +211,53 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return d.withColumn("row", F.xxhash64("id", "text"))
 
 
-def _matches(rows: DataFrame, n: int, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame]:
-    """(owners, found). owners: id, row and rid, the hash of the n-gram set, of each row with words; found: a, b, similarity of rids a < b."""
+def _matches(rows: DataFrame, n: int, threshold: float, tolerance: float) -> DataFrame:
+    """id, row, cls, n_links and copies (how often it is repeated in full) of each distinct row with words."""
     kind = dict(rows.dtypes)["id"]
-    sig = C.cut(rows.mapInArrow(_signatures(n), f"id {kind}, row long, rid long, sig binary"))
-    one = sig.groupBy("rid").agg(F.first("sig").alias("sig"), F.min("row").alias("row"))
-    word = lambda k: F.substring("sig", k * ROWS * 4 + 1, ROWS * 4)
-    banded = one.select("rid", F.posexplode(F.array(*[F.xxhash64(word(k), F.lit(k)) for k in range(BANDS)])).alias("band", "bucket"))
-    met = banded.groupBy("bucket").agg(F.collect_list("rid").alias("rids"), F.min("band").alias("band")).where(F.size("rids") > 1)
-    members = met.select("bucket", "band", F.explode("rids").alias("rid"))
-    pairs = C.cut(members.join(one.select("rid", "sig"), "rid").repartition("bucket").sortWithinPartitions("bucket", "rid").mapInArrow(_compare(threshold, tolerance), "bucket long, a long, b long"))
-    wants = pairs.select("bucket", F.col("a").alias("rid"), F.col("b").alias("partner")).unionByName(pairs.select("bucket", F.col("b").alias("rid"), F.lit(None).cast("long").alias("partner")))
-    wants = wants.groupBy("bucket", "rid").agg(F.collect_list("partner").alias("partners"))
-    texts = rows.select("row", "text").join(one.select("rid", "row").join(wants.select("rid").distinct(), "rid", "left_semi"), "row").dropDuplicates(["rid"])
-    sets = texts.select("rid", "text").mapInArrow(_sets(n), "rid long, grams binary")
-    found = wants.join(sets, "rid").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_verify(threshold), "a long, b long, similarity double")
-    return sig.select("id", "row", "rid"), C.cut(found)
-
+    sig = C.cut(rows.mapInArrow(_signatures(n), f"id {kind}, row long, rid long, proof int, grams long, sig binary"))
+    one = C.cut(sig.groupBy("rid").agg(F.min(F.struct("row", "proof", "grams", "sig")).alias("o")).select("rid", "o.*"))
+    least = least_matches(threshold, tolerance)
+    word = lambda k: F.substring("sig", k * ROWS * 2 + 1, ROWS * 2)
+    members = one.select("rid", F.explode(F.array(*[F.xxhash64(word(k), F.lit(k)) for k in range(BANDS)])).alias("bucket"))
+    edges = links.edges_within(members, one.select("rid", F.col("sig").alias("sketch")), lambda raw: Signatures(raw, least))
+    owners = sig.groupBy("id", "row", "rid", "proof").agg(F.count(F.lit(1)).alias("copies"))
+    weights = one.join(owners.groupBy("rid").agg(F.count(F.lit(1)).alias("m")), "rid").select("rid", "row", "m", (8 * F.col("grams")).alias("bytes"))
+    labels = links.components(edges)
+    C.discard(edges)
 
-def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: float = 0.5, tolerance: float = 0.01) -> DataFrame:
-    """Pairs of documents whose n-gram sets reach the threshold: doc_a, doc_b, similarity, kind.
+    def contents(known: DataFrame) -> DataFrame:
+        wanted = known.join(weights.select("rid", "row"), "rid")
+        return rows.select("row", "text").join(wanted, "row").select("rid", "label", "m", "bytes", "g", "home", "text").mapInArrow(_sets(n), "rid long, label long, m long, bytes long, g long, home long, contents binary")
 
-    kind "near": the pair stands for all pairs of a row with doc_a's set and one with doc_b's. kind "same": doc_b's set
-    equals doc_a's, doc_a being the least id with that set. So the number of rows doesn't grow with the square of the
-    number of exact copies, and all pairs follow from the rows.
-    """
-    owners, found = _matches(_rows(docs, id_col, text_col), n, threshold, tolerance)
-    owners = owners.distinct()
-    least = owners.groupBy("rid").agg(F.min(F.struct("id", "row")).alias("least"))
-    near = found.join(least.select(F.col("rid").alias("a"), F.col("least.id").alias("x")), "a").join(least.select(F.col("rid").alias("b"), F.col("least.id").alias("y")), "b")
-    near = near.select(F.when(F.col("y") < F.col("x"), F.col("y")).otherwise(F.col("x")).alias("doc_a"), F.when(F.col("y") < F.col("x"), F.col("x")).otherwise(F.col("y")).alias("doc_b"), "similarity", F.lit("near").alias("kind"))
-    same = owners.join(least, "rid").where(F.col("row") != F.col("least.row"))
-    same = same.select(F.col("least.id").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(1.0).alias("similarity"), F.lit("same").alias("kind"))
-    return near.unionByName(same)
+    found = links.resolve(labels, weights.select("rid", "m", "bytes"), contents, Sets(threshold))
+    # rows whose set is another one with the same hash, if there ever are any, match nothing
+    true = owners.join(one.select("rid", F.col("proof").alias("whose")), "rid").join(weights.select("rid", "m"), "rid").join(found, "rid", "left")
+    same = F.col("proof") == F.col("whose")
+    return true.select("id", "row", F.when(same, F.coalesce("cls", "rid")).otherwise(F.xxhash64("rid", "proof")).alias("cls"), F.when(same, F.coalesce("n", F.lit(0)) + F.col("m") - 1).otherwise(F.lit(0)).alias("n_links"), "copies")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label: the least node of each connected component, for the nodes of edges (a, b).
+def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: float = 0.5, tolerance: float = 0.01) -> DataFrame:
+    """A row for each document that matches another: id_col, class_id and n_links.
 
-    Each round gives a node the least label around it, then that label's own label; rounds grow with the logarithm of the
-    longest path, and each is written so that lost executors repeat one at most.
+    n_links is the number of documents that it matches, copies included. class_id is the least id of all that matches connect it with, null
+    if none of them has an id.
     """
-    both = C.cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")) if both.take(1) else both.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    while True:
-        labels = C.cut(labels)
-        around = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        hooked = labels.join(around, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("via"))
-        jumped = C.cut(hooked.join(labels.select(F.col("node").alias("at"), F.col("label").alias("further")), F.col("via") == F.col("at")).select("node", "old", F.least("via", "further").alias("label")))
-        labels = jumped.select("node", "label")
-        if not jumped.where("old != label").take(1):
-            return labels
+    found = C.cut(_matches(_rows(docs, id_col, text_col), n, threshold, tolerance).where("n_links > 0"))
+    least = found.groupBy("cls").agg(F.min("id").alias("class_id"))
+    return found.join(least, "cls").select(F.col("id").alias(id_col), "class_id", "n_links")
 
 
 def keep_one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: float = 0.5, tolerance: float = 0.01) -> DataFrame:
     """The input without all but one of each group of matching documents, a group being what matches connect.
 
-    The row with the least id stays (a null id is the least; among equal ids the least hash). Texts without words stay.
+    The row with the least id stays (a null id is the least; among equal ids the least hash), once if it is repeated. Texts without words stay.
     """
-    rows = _rows(docs, id_col, text_col)
-    owners, found = _matches(rows, n, threshold, tolerance)
-    labels = components(found)
-    grouped = owners.join(labels, F.col("rid") == F.col("node"), "left").select("id", "row", F.coalesce("label", "rid").alias("grp"))
-    stays = grouped.groupBy("grp").agg(F.min(F.struct("id", "row")).alias("stays"), F.count(F.lit(1)).alias("members"))
-    # rows of groups of one need no decision
-    mark = grouped.join(stays.where("members > 1"), "grp").groupBy("row").agg(F.max(F.col("row") == F.col("stays.row")).alias("stays"), F.count(F.lit(1)).alias("copies"))
-    mark = C.cut(mark.select(F.col("row").alias("__row"), F.col("stays").alias("__stays"), F.col("copies").alias("__copies")).where("not __stays or __copies > 1"))
-    keyed = docs.withColumn("__row", F.xxhash64(docs[f"`{id_col}`"], docs[f"`{text_col}`"]))
-    single = keyed.join(mark, "__row", "left_anti")
+    found = C.cut(_matches(_rows(docs, id_col, text_col), n, threshold, tolerance).where("n_links > 0 or copies > 1"))
+    stays = found.groupBy("cls").agg(F.min(F.struct("id", "row")).alias("stays"))
+    marked = C.cut(found.join(stays, "cls").select("id", "row", (F.col("row") == F.col("stays.row")).alias("stays"), "copies").where("not stays or copies > 1"))
+    key = C.free(docs, "row_hash")
+    keyed = docs.withColumn(key, F.xxhash64(docs[f"`{id_col}`"], docs[f"`{text_col}`"]))
+    on = lambda m: (keyed[key] == m["row"]) & keyed[f"`{id_col}`"].eqNullSafe(m["id"])
     # written on its own, as it is mostly empty, and its known size then spares this branch a shuffle of texts
-    again = C.cut(mark.where("__stays").select("__row").coalesce(1))
-    repeated = keyed.join(again, "__row", "left_semi").dropDuplicates(["__row"])
-    return single.unionByName(repeated).drop("__row").select(docs.columns)
+    again = C.cut(marked.where("stays").select("id", "row").coalesce(1))
+    return keyed.join(marked, on(marked), "left_anti").unionByName(keyed.join(again, on(again), "left_semi").dropDuplicates([key])).select([f"`{c}`" for c in docs.columns])

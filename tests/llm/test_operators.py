@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from moniker.llm import chat, jaccard, mixing, packing, pivots, quality, secrets, sharding, tokencount, toxicity
+from moniker.llm import chat, jaccard, links, mixing, packing, pivots, quality, secrets, sharding, tokencount, toxicity
 from moniker.llm import common as C
 from tests.harness import DATA, differences
 
@@ -340,37 +340,52 @@ def test_toxicity_odd(odd, none, spark):
 # 7 pivots
 
 
-def test_near_vectors_against_brute_force(spark):
+def vectors(spark, x):
+    return spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
+
+
+def links_of(x, threshold):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -1)
+    return {int(i): set(np.flatnonzero(s[i] >= threshold).tolist()) for i in np.flatnonzero((s >= threshold).any(1))}
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_near_vectors_against_brute_force(spark, monkeypatch, small):
+    """small: lists and components are split into blocks, as large ones are."""
+    if small:
+        monkeypatch.setattr(links, "BUCKET", 40)
+        monkeypatch.setattr(links, "MEMBERS", 8)
     g = np.random.default_rng(7)
     x = g.normal(size=(3000, 32)).astype(np.float32)
     for i in range(0, 900, 3):
         x[i + 1] = x[i] + g.normal(size=32) * 0.12
+    x[1000:1060] = x[1000] + g.normal(size=(60, 32)) * 0.15
     x[2990:2995] = x[17]
-    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    got = {(r["vec_a"], r["vec_b"]) for r in pivots.near_duplicates(df).collect()}
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    s = u @ u.T
-    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(s >= 0.95), strict=True) if i < j}
-    copies = {*range(2990, 2995)}
-    stars = {(17, j) for j in copies}
-    assert stars <= got
-    want = {(min(a, b), max(a, b)) for a, b in ((17 if p in copies else p, 17 if q in copies else q) for p, q in want) if a != b}
-    found = got - stars
-    assert len(found & want) >= 0.9 * len(want) > 250 and found <= want | {p for p in found if s[p] > 0.9499}
-
-
-@pytest.mark.parametrize("noise", [0.1, 0.2])
-def test_near_vectors_in_a_large_group(spark, noise):
-    """Thousands of near copies (cosines of about .99 and .96 among them) in a table of 12,000."""
+    want = links_of(x, 0.95)
+    label = classes_of(want, list(want))
+    got = {r["vec_id"]: (r["class_id"], r["n_links"]) for r in pivots.near_duplicates(vectors(spark, x)).collect()}
+    assert set(got) <= set(want) and len(got) >= 0.95 * len(want) > 500
+    assert all(n <= len(want[i]) and label[c] == label[i] for i, (c, n) in got.items())
+    assert sum(n for _, n in got.values()) >= 0.95 * sum(map(len, want.values()))
+    assert {i: got[i] for i in (17, *range(2990, 2995))} == {i: (label[i], len(want[i])) for i in (17, *range(2990, 2995))}
+
+
+@pytest.mark.parametrize("noise", [0.05, 0.1, 0.2])
+def test_near_vectors_in_a_large_group(spark, monkeypatch, noise):
+    """Thousands of near copies (cosines of about .998, .99 and .96 among them) in a table of 12,000, in blocks."""
+    monkeypatch.setattr(links, "BUCKET", 1000)
+    monkeypatch.setattr(links, "MEMBERS", 500)
     g = np.random.default_rng(5)
     x = g.normal(size=(12_000, 64))
     x[:2500] = g.normal(size=64) + g.normal(size=(2500, 64)) * noise
     x = x.astype(np.float32)
-    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
-    got = pivots.near_duplicates(df).select(F.countDistinct("vec_a", "vec_b").alias("pairs"), F.count(F.lit(1)).alias("rows"), F.min("cosine").alias("least")).first()
-    u = x[:2500] / np.linalg.norm(x[:2500], axis=1, keepdims=True)
-    want = int(np.triu(u @ u.T >= 0.95, 1).sum())
-    assert got["pairs"] == got["rows"] and got["least"] >= 0.95 and 0.99 * want <= got["pairs"] <= want + 10, (got, want)
+    want = links_of(x[:2500], 0.95)
+    got = {r["vec_id"]: (r["class_id"], r["n_links"]) for r in pivots.near_duplicates(vectors(spark, x)).collect()}
+    assert set(got) <= set(range(2500)) and {c for c, _ in got.values()} == {0}
+    n = sum(map(len, want.values()))
+    assert 0.99 * n <= sum(k for _, k in got.values()) <= n + 20
 
 
 def test_pivots_are_apart(spark):
@@ -391,8 +406,11 @@ def test_pivots_are_apart(spark):
 def test_near_vectors_odd(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (None, [1.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [None, 1.0]), (7, [float("nan"), 1.0]), (8, [1.0, 0.0, 0.0]), (9, [0.0, 1.0]), (9, [0.0, 1.0]), (1, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rid", F.lit(1)).withColumn("dim", F.lit("x"))
-    got = {(r["vec_a"], r["vec_b"]) for r in pivots.near_duplicates(df).collect()}
-    assert (1, 2) in got and all(3 not in p and 8 not in p and 9 not in p for p in got) and len(got) == 2
+    got = {tuple(r) for r in pivots.near_duplicates(df).collect()}
+    assert got == {(1, 1, 2), (2, 1, 2), (None, 1, 2)}
+    big = [((1 << 60) + 1, [1.0, 0.1]), ((1 << 60) + 3, [1.0, 0.1]), (None, [1.0, 0.1])]
+    got = {tuple(r) for r in pivots.near_duplicates(spark.createDataFrame(big, "vec_id long, embedding array<float>").coalesce(1)).collect()}
+    assert got == {(i, (1 << 60) + 1, 2) for i, _ in big}
     assert pivots.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -438,34 +456,123 @@ def test_chat_sql_and_odd(spark):
 # 9 n-gram Jaccard join
 
 
-def test_join_against_brute_force(spark):
+def brute_links(sets, threshold):
+    """Links of each set by position, all pairs compared."""
+    out = defaultdict(set)
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if sets[i] and sets[j] and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]):
+            out[i].add(j)
+            out[j].add(i)
+    return out
+
+
+def classes_of(links, nodes):
+    label = {}
+    for i in nodes:
+        if i not in label:
+            todo = [i]
+            while todo:
+                x = todo.pop()
+                if x not in label:
+                    label[x] = i
+                    todo += links.get(x, ())
+    return label
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_join_against_brute_force(spark, monkeypatch, small):
+    """small: buckets and components are split into blocks, as large ones are."""
+    if small:
+        monkeypatch.setattr(links, "BUCKET", 5)
+        monkeypatch.setattr(links, "MEMBERS", 4)
     docs = C.table(spark, f"{DATA}/sf0.01", "documents")
     rows = docs.orderBy("doc_id").collect()
     h, o = jaccard.ngram_sets(pa.array([x["text"] for x in rows]), 3)
     sets = [frozenset(h[o[i] : o[i + 1]].tolist()) for i in range(len(rows))]
-    holders = defaultdict(list)
-    for i, s in enumerate(sets):
-        for g in s:
-            holders[g].append(i)
-    shared = Counter(p for v in holders.values() for p in itertools.combinations(v, 2))
-    sim = {p: n / len(sets[p[0]] | sets[p[1]]) for p, n in shared.items()}
-    first = {}
-    for i, s in enumerate(sets):
-        first.setdefault(s, i)
-    want = {p: s for p, s in sim.items() if s >= 0.5 and all(first[sets[i]] == i for i in p)}
-    copies = {(first[s], i) for i, s in enumerate(sets) if s and first[s] != i}
-    got = jaccard.ngram_jaccard_join(docs).collect()
-    near = {(x["doc_a"], x["doc_b"]): x["similarity"] for x in got if x["kind"] == "near"}
-    assert {(x["doc_a"], x["doc_b"]) for x in got if x["kind"] == "same"} == copies
-    assert set(near) <= set(want) and len(near) >= 0.9 * len(want) and all(abs(near[p] - want[p]) < 1e-12 for p in near)
-    # the groups and what stays of them
-    root = list(range(len(rows)))
-    find = lambda i: i if root[i] == i else find(root[i])
-    for a, b in [*near, *copies]:
-        x, y = find(a), find(b)
-        root[max(x, y)] = min(x, y)
+    want = brute_links(sets, 0.5)
+    label = classes_of(want, range(len(rows)))
+    got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in jaccard.ngram_jaccard_join(docs).collect()}
+    assert set(got) <= set(want) and sum(n for _, n in got.values()) >= 0.97 * sum(map(len, want.values()))
+    assert all(n <= len(want[i]) and label[c] == label[i] for i, (c, n) in got.items())
+    assert np.mean([got.get(i) == (label[i], len(want[i])) for i in want]) > 0.95
     kept = {x["doc_id"] for x in jaccard.keep_one_of_each_group(docs).select("doc_id").collect()}
-    assert kept == {i for i in range(len(rows)) if find(i) == i}
+    assert kept == {i for i in range(len(rows)) if i not in got or got[i][0] == i}
+
+
+def test_join_of_a_large_loose_group(spark, monkeypatch):
+    """A group of many near copies in blocks: tight ones are counted, loose ones compared; nothing is lost but what bands miss."""
+    monkeypatch.setattr(links, "BUCKET", 16)
+    monkeypatch.setattr(links, "MEMBERS", 10)
+    r = random.Random(21)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(150):
+        t = list(base)
+        for _ in range(r.choice([1, 2, 5, 9])):
+            t[r.randrange(120)] = f"x{i}"
+        texts.append(" ".join(t))
+    texts += texts[:7]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], SCHEMA)
+    sets = [frozenset(zip(*[t.split()[k:] for k in range(3)], strict=False)) for t in texts]
+    want = brute_links(sets, 0.5)
+    got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in jaccard.ngram_jaccard_join(docs).collect()}
+    label = classes_of(want, range(len(texts)))
+    assert got == {i: (label[i], len(want[i])) for i in want}
+
+
+def test_matchers_against_pairs():
+    g = np.random.default_rng(5)
+    pool = np.sort(g.integers(0, 1 << 63, 400, dtype=np.uint64))
+    for n, chunk in ((1, 64), (2, 64), (3, 64), (40, 64), (40, 1 << 16)):
+        m = jaccard.Sets(0.5)
+        m.CHUNK = chunk
+        sets = [np.sort(g.choice(pool[: g.integers(20, 60)], g.integers(1, 20), replace=False)) for _ in range(n)]
+        raw = [x.tobytes() for x in sets]
+        near = lambda a, b: len(np.intersect1d(a, b)) >= 0.5 * len(np.union1d(a, b))
+        assert {(i, int(j)) for i, hits in m.among(raw) for j in hits} == {(i, j) for i, j in itertools.combinations(range(n), 2) if near(sets[i], sets[j])}
+        assert {(i, int(j)) for i, hits in m.between(raw[: n // 2 + 1], raw[n // 2 :]) for j in hits} == {(i, j - n // 2) for i in range(n // 2 + 1) for j in range(n // 2, n) if near(sets[i], sets[j])}
+        assert m.tight(raw[0], raw).tolist() == [len(np.intersect1d(sets[0], x)) >= 0.75 * len(np.union1d(sets[0], x)) for x in sets]
+    u = g.normal(size=(50, 4)).astype(np.float32)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    m, raw, s = pivots.Vectors(0.9), [x.tobytes() for x in u], u @ u.T
+    assert {(i, int(j)) for i, hits in m.among(raw) for j in hits} == {(i, j) for i, j in itertools.combinations(range(50), 2) if s[i, j] >= 0.9}
+    assert {(i, int(j)) for i, hits in m.between(raw[:20], raw[20:]) for j in hits} == {(i, j) for i in range(20) for j in range(30) if s[i, j + 20] >= 0.9}
+    assert all(s[i, j] >= 0.9 for i, j in itertools.combinations(np.flatnonzero(m.tight(raw[0], raw)), 2))
+
+
+def test_edges_within_blocks(spark):
+    """However buckets are split, what is connected within a bucket is connected by the edges."""
+    r = random.Random(14)
+    value = {i: r.randrange(1000) for i in range(260)}
+    members = [(b, i) for i in value for b in {0, r.randrange(1, 6), r.randrange(6, 60)}]
+    want = defaultdict(set)
+    for b in range(60):
+        for i, j in itertools.combinations([i for x, i in members if x == b], 2):
+            if abs(value[i] - value[j]) <= 3:
+                want[i].add(j)
+                want[j].add(i)
+
+    m, s = spark.createDataFrame(members, "bucket long, rid long"), spark.createDataFrame([(i, v.to_bytes(8, "little")) for i, v in value.items()], "rid long, sketch binary")
+    for block in (2, 7, 50, 10_000):
+        found = defaultdict(set)
+        for x in links.edges_within(m, s, Close, block).collect():
+            assert abs(value[x["a"]] - value[x["b"]]) <= 3 and x["a"] < x["b"]
+            found[x["a"]].add(x["b"])
+            found[x["b"]].add(x["a"])
+        assert classes_of(found, value) == classes_of(want, value), block
+
+
+class Close:
+    """Sketches are numbers, at most 3 apart."""
+
+    def __init__(self, raw):
+        self.x = np.frombuffer(b"".join(raw), np.int64)
+
+    def pairs(self, a, b):
+        return abs(self.x[a] - self.x[b]) <= 3
+
+    def many(self, i, others):
+        return abs(self.x[i] - self.x[others]) <= 3
 
 
 def test_bayes_bound_against_integral():
@@ -476,26 +583,22 @@ def test_bayes_bound_against_integral():
         assert tail(m) >= 0.01 > (tail(m - 1) if m else 0)
 
 
-def test_prune_against_pairs():
+def test_signatures_against_pairs():
     g = np.random.default_rng(3)
-    base = g.integers(0, 4, (30, jaccard.HASHES)).astype(np.uint32)
+    sig = g.integers(0, 2, (30, jaccard.HASHES)).astype(np.uint16)
     least = jaccard.least_matches(0.5, 0.01)
-    for band in (0, 5):
-        i, j = jaccard.prune(base, least, band)
-        want = set()
-        for a, b in itertools.combinations(range(30), 2):
-            same = base[a] == base[b]
-            bands = same.reshape(jaccard.BANDS, jaccard.ROWS).all(1)
-            if all(same[:k].sum() >= m for k, m in least.items()) and not bands[:band].any():
-                want.add((a, b))
-        assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
+    s = jaccard.Signatures([x.tobytes() for x in sig], least)
+    a, b = (np.array(x) for x in zip(*itertools.combinations(range(30), 2), strict=True))
+    want = np.array([all((sig[i] == sig[j])[:k].sum() >= m for k, m in least.items()) for i, j in zip(a, b, strict=True)])
+    assert want.any() and not want.all() and (s.pairs(a, b) == want).all() and (s.many(0, np.arange(1, 30)) == want[:29]).all()
 
 
 def test_join_odd(odd, none):
     got = jaccard.ngram_jaccard_join(odd)
     assert got.count() == 0 == jaccard.ngram_jaccard_join(none).count()
     more = odd.unionByName(odd.where("doc_id in (3, 5)").withColumn("doc_id", F.col("doc_id") + 100))
-    assert {(x["doc_a"], x["doc_b"]) for x in jaccard.ngram_jaccard_join(more).collect()} == {(3, 103), (5, 105)}
+    assert {tuple(x) for x in jaccard.ngram_jaccard_join(more).collect()} == {(3, 3, 1), (103, 3, 1), (5, 5, 1), (105, 5, 1)}
+    assert jaccard.keep_one_of_each_group(more.withColumn("row_hash", F.lit(1)).withColumn("Row_Hash_", F.lit(1))).count() == 10
     kept = jaccard.keep_one_of_each_group(more)
     assert kept.columns == odd.columns and jaccard.keep_one_of_each_group(none).count() == 0
     assert Counter(x["doc_id"] for x in kept.collect()) == Counter([1, 2, None, None, 3, 4, 5, 6, 6, 7])
@@ -510,7 +613,7 @@ def test_components(spark):
     for a, b in edges:
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
-    got = {x["node"]: x["label"] for x in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {x["node"]: x["label"] for x in links.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: find(i) for i in root}
 
 
