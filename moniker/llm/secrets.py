@@ -1,14 +1,14 @@
 """Secret scans by corpus-wide ownership frequency.
 
 Candidates are what looks like a credential: well-known key forms, and long values that are assigned to names such as token, key, secret or
-password. Each is hashed, and the whole corpus is aggregated by hash: in how many documents, repositories and owners does it
-occur? A candidate of many owners (EXAMPLE_OWNERS or more) is a widely copied example; one that is low in variety or spells a
-placeholder is a dummy; what is left belongs to few owners and looks live. Only the candidates' hashes are shuffled,
-never texts.
+password, without full stops at their end. Each is hashed where it is found, and the whole corpus is aggregated by hash: in how many documents, repositories
+and owners does it occur? A candidate that is low in variety or spells a placeholder is a dummy; one of many owners (EXAMPLE_OWNERS or more), or of several
+(FEW_OWNERS) in many repositories (EXAMPLE_REPOS), is a widely copied example; what is left belongs to few and looks live. Only hashes are shuffled and
+written, never texts or values.
 
 Defined results: null and empty texts have no candidates; all null owners are one owner, null repositories one repository. A candidate
 that occurs repeatedly in a document, and a repeated row, count once for numbers of documents (by id), owners and repositories. A null
-id is an id. Other columns don't matter; an empty table gives an empty result.
+id is an id. Credentials may have any length. Other columns don't matter, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-EXAMPLE_OWNERS, LEAST_VARIETY = 8, 6
-# forms that need no name, then a named value; none uses what Java's and RE2's syntax differ in. Lengths have no upper bound where the form
-# sets none: what is cut off a credential would be counted as another one and stay in the text
-FORMS = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|sk-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"
-NAMED = r"(?i:token|secret|passwd|password|api_?key|access_?key|auth_?key|credential|private_?key)[\"']{0,1}[ \t]{0,3}[:=][ \t]{0,3}[\"']{0,1}([A-Za-z0-9+/=_.-]{16,})"
+EXAMPLE_OWNERS, FEW_OWNERS, EXAMPLE_REPOS, LEAST_VARIETY = 8, 4, 16, 6
+# forms that need no name, web tokens, a named value; but for the look behind none uses what Java's and RE2's syntax differ in. Lengths have no upper bound where
+# the form sets none: what is cut off a credential would be counted as another one and stay in the text
+FORMS = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|sk-[A-Za-z0-9_-]{20,}"
+# a web token doesn't begin within a word: else a text of nothing but beginnings would be searched to its end from each
+WEB = r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"
+NAMED = r"(?i:token|secret|passwd|password|api_?key|access_?key|auth_?key|credential|private_?key)[\"']{0,1}[ \t]{0,3}[:=][ \t]{0,3}[\"']{0,1}([A-Za-z0-9+/=_.-]{15,}[A-Za-z0-9+/=_-])"
 DUMMY = r"(?i)example|placeholder|changeme|your_|xxxx|0000000|1234567|abcdefg"
 REDACTED = "[SECRET]"
 
@@ -33,75 +35,67 @@ def candidates(text: Column) -> Column:
     """Distinct candidates of a text, as an array. Plain searches for what every match must have spare most texts the patterns."""
     none = F.array().cast("array<string>")
     has = lambda *xs: reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in xs])
-    forms = F.when(has("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza", "sk-", "eyJ"), F.regexp_extract_all(text, F.lit(f"(?:{FORMS})"), F.lit(0))).otherwise(none)
+    forms = F.when(has("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza", "sk-"), F.regexp_extract_all(text, F.lit(f"(?:{FORMS})"), F.lit(0))).otherwise(none)
+    web = F.when(has("eyJ"), F.regexp_extract_all(text, F.lit(f"(?<![A-Za-z0-9_-]){WEB}"), F.lit(0))).otherwise(none)
     named = F.when(has("=", ":"), F.regexp_extract_all(text, F.lit(NAMED), F.lit(1))).otherwise(none)
-    return F.array_distinct(F.concat(forms, named))
+    return F.array_distinct(F.concat(forms, web, named))
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo: Column | None) -> DataFrame:
+    """id, owner, repo, secret_hash, n_chars, dummy of each candidate in each row."""
     C.ready(docs.sparkSession)
-    d = C.pick(docs, id=id_col, text=text_col, owner=owner_col)
-    d = d.withColumn("repo", F.col("owner")) if repo is None else docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"), docs[f"`{owner_col}`"].alias("owner"), repo.alias("repo"))
-    return d.select("id", "owner", "repo", F.explode(candidates(F.col("text"))).alias("value"))
+    d = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"), docs[f"`{owner_col}`"].alias("owner"), (docs[f"`{owner_col}`"] if repo is None else repo).alias("repo"))
+    d = d.select("id", "owner", "repo", F.explode(candidates(F.col("text"))).alias("value"))
+    dummy = F.col("value").rlike(DUMMY) | (F.size(F.array_distinct(F.split("value", ""))) < LEAST_VARIETY)
+    return d.select("id", "owner", "repo", F.md5("value").alias("secret_hash"), F.length("value").cast("long").alias("n_chars"), dummy.alias("dummy"))
 
 
 def _judged(found: DataFrame) -> DataFrame:
+    """A row a candidate, with its verdict."""
     present = lambda c: F.countDistinct(F.coalesce(F.concat(F.lit("1"), F.col(c).cast("string")), F.lit("0")))
-    h = found.groupBy("value").agg(present("id").alias("n_docs"), present("repo").alias("n_repos"), present("owner").alias("n_owners"), F.array_sort(F.collect_set("id")).alias("doc_ids"))
-    variety = F.size(F.array_distinct(F.split("value", "")))
-    dummy = F.col("value").rlike(DUMMY) | (variety < LEAST_VARIETY)
-    verdict = F.when(dummy, "dummy").when(F.col("n_owners") >= EXAMPLE_OWNERS, "example").otherwise("live")
-    return h.select(F.md5("value").alias("secret_hash"), F.length("value").cast("long").alias("n_chars"), "n_docs", "n_repos", "n_owners", verdict.alias("verdict"), "doc_ids", "value")
+    h = found.groupBy("secret_hash", "n_chars", "dummy").agg(present("id").alias("n_docs"), present("repo").alias("n_repos"), present("owner").alias("n_owners"))
+    many = (F.col("n_owners") >= EXAMPLE_OWNERS) | (F.col("n_owners") >= FEW_OWNERS) & (F.col("n_repos") >= EXAMPLE_REPOS)
+    return h.select("secret_hash", "n_chars", "n_docs", "n_repos", "n_owners", F.when(F.col("dummy"), "dummy").when(many, "example").otherwise("live").alias("verdict"))
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo: Column | None = None) -> DataFrame:
-    """secret_hash, n_chars, n_docs, n_repos, n_owners, verdict and doc_ids (ascending, without nulls, by comma) of each candidate; the value itself is not shown."""
-    j = _judged(_found(docs, id_col, text_col, owner_col, repo)).drop("value")
-    return j.withColumn("doc_ids", F.array_join("doc_ids", ","))
+    """id_col, secret_hash, n_chars, n_docs, n_repos, n_owners and verdict of each candidate in each document (by id); the value itself is not shown."""
+    found = C.cut(_found(docs, id_col, text_col, owner_col, repo))
+    each = found.select("id", "secret_hash").distinct().join(_judged(found), "secret_hash")
+    return each.select(F.col("id").alias(id_col), "secret_hash", "n_chars", "n_docs", "n_repos", "n_owners", "verdict")
 
 
-def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
-    """The input with live-looking secrets replaced in the texts; other rows and columns stay as they are.
+def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo: Column | None = None) -> DataFrame:
+    """The input with live-looking secrets replaced in the texts; other rows and columns stay as they are, repeated rows included.
 
-    What is judged live depends on the whole corpus, so the live values are gathered first; only rows with a candidate take part
-    in the join with them, by the candidates' values.
+    What is judged live depends on the whole corpus, so the live hashes are gathered first; only rows with a candidate take part
+    in the join with them, which is by a hash of the text.
     """
-    found = _found(docs, id_col, text_col, owner_col, None)
-    live = C.cut(_judged(found).where("verdict = 'live'").select(F.col("value").alias("__value")))
-    keyed = docs.withColumn("__c", candidates(docs[f"`{text_col}`"]))
-    rest = keyed.where("size(__c) < 1 or __c is null").drop("__c")
-    hit = keyed.where("size(__c) > 0")
-    # rows are told apart by all their columns; repeated ones are counted
-    columns = docs.columns
-    rows = hit.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.first("__c").alias("__c"), F.count(F.lit(1)).alias("__n")) if _groupable(docs) else None
-    if rows is None:
-        raise TypeError("documents with map columns can't be redacted")
-    known = rows.select(F.explode("__c").alias("__value")).distinct().join(live, "__value", "left_semi")
-    some = rows.withColumn("__one", F.explode("__c")).join(known.withColumn("__live", F.lit(True)), F.col("__one") == F.col("__value"), "left")
-    some = some.groupBy(*[F.col(f"`{c}`") for c in columns], "__n").agg(F.array_sort(F.collect_set("__value")).alias("__live"))
+    live = C.cut(_judged(_found(docs, id_col, text_col, owner_col, repo)).where("verdict = 'live'").select("secret_hash"))
+    text, columns = docs[f"`{text_col}`"], [f"`{c}`" for c in docs.columns]
+    c, key, of, values = (C.free(docs, x) for x in ("secret_candidates", "secret_text", "secret_of", "secret_values"))
+    keyed = docs.withColumn(c, candidates(text))
+    rest = keyed.where((F.size(c) < 1) | F.col(c).isNull()).select(columns)
+    hit = keyed.where(F.size(c) > 0).withColumn(key, F.xxhash64(F.col(f"`{text_col}`")))
+    each = hit.select(key, F.explode(c).alias("value")).distinct().withColumn("secret_hash", F.md5("value")).join(live, "secret_hash")
+    per = each.groupBy(F.col(key).alias(of)).agg(F.collect_set("value").alias(values))
     # longer values first, so that none hides within another
-    text = F.aggregate(F.reverse(F.array_sort(F.transform("__live", lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))))), F.col(f"`{text_col}`"), lambda t, v: F.replace(t, v["v"], F.lit(REDACTED)))
-    some = some.withColumn(text_col, text).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))))
-    return rest.select(columns).unionByName(some.select(columns))
+    longest = F.reverse(F.array_sort(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.struct(F.length(v).alias("n"), v.alias("v")))))
+    clean = F.aggregate(longest, F.col(f"`{text_col}`"), lambda t, v: F.replace(t, v["v"], F.lit(REDACTED)))
+    done = hit.join(per, F.col(key) == F.col(of), "left")
+    return rest.unionByName(done.select(*[clean.alias(x) if x == text_col else F.col(f"`{x}`") for x in docs.columns]))
 
 
-def _groupable(docs: DataFrame) -> bool:
-    return not any("map<" in kind for _, kind in docs.dtypes)
-
-
-# the SQL has upper bounds still: it gives the same where no credential is longer
-_SQL_FORMS = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[0-9A-Za-z-]{10,72}|AIza[0-9A-Za-z_-]{35}|sk-[A-Za-z0-9_-]{20,72}|eyJ[A-Za-z0-9_-]{10,400}\.[A-Za-z0-9_-]{10,400}\.[A-Za-z0-9_-]{10,400}"
-_SQL_NAMED = r"(?i:token|secret|passwd|password|api_?key|access_?key|auth_?key|credential|private_?key)[\"']{0,1}[ \t]{0,3}[:=][ \t]{0,3}[\"']{0,1}([A-Za-z0-9+/=_.-]{16,200})"
-_QUOTED = _SQL_NAMED.replace("'", "''")
+_QUOTED = NAMED.replace("'", "''")
 SQL = f"""
 with found as (
   select distinct doc_id, source, lang, value from (
-    select doc_id, source, lang, unnest(list_concat(regexp_extract_all(text, '(?:{_SQL_FORMS})'), regexp_extract_all(text, '{_QUOTED}', 1))) as value from documents)
-)
-select md5(value) as secret_hash, length(value) as n_chars, count(distinct coalesce('1' || doc_id, '0')) as n_docs,
-       count(distinct concat_ws('/', source, lang)) as n_repos, count(distinct coalesce('1' || source, '0')) as n_owners,
+    select doc_id, source, lang, unnest(list_concat(regexp_extract_all(text, '(?:{FORMS})'), regexp_extract_all(text, '(?:^|[^A-Za-z0-9_-])({WEB})', 1), regexp_extract_all(text, '{_QUOTED}', 1))) as value from documents)
+), judged as (
+  select value, count(distinct coalesce('1' || doc_id, '0')) as n_docs, count(distinct concat_ws('/', source, lang)) as n_repos, count(distinct coalesce('1' || source, '0')) as n_owners
+  from found group by value)
+select distinct doc_id, md5(value) as secret_hash, length(value) as n_chars, n_docs, n_repos, n_owners,
        case when regexp_matches(value, '{DUMMY}') or len(list_distinct(string_split(value, ''))) < {LEAST_VARIETY} then 'dummy'
-            when count(distinct coalesce('1' || source, '0')) >= {EXAMPLE_OWNERS} then 'example' else 'live' end as verdict,
-       array_to_string(list_sort(list(distinct doc_id) filter (where doc_id is not null)), ',') as doc_ids
-from found group by value
+            when n_owners >= {EXAMPLE_OWNERS} or n_owners >= {FEW_OWNERS} and n_repos >= {EXAMPLE_REPOS} then 'example' else 'live' end as verdict
+from found join judged using (value)
 """
