@@ -15,7 +15,8 @@ Defined results: all rows with one id (a null id is one, too) are one item, whos
 whose size is their sum; its source is the least that is not null. A null source is a source of its own, whose weight
 is that of "" . A null text has the size 0. A source without weight given gets `default_weight`, or where that is None its
 present share to the power `alpha`. A source of size 0 keeps its items once each. An empty table gives an empty result.
-Random numbers are hashes of seed and ids, so a lost task gives the same when run again. Other columns don't matter.
+Random numbers are hashes of seed and ids, so a lost task gives the same when run again. Other columns don't matter, whatever
+their names; ids are never changed, whatever nulls are beside them.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,9 +64,9 @@ def pivotal(p: np.ndarray, keys: np.ndarray, seed: int) -> np.ndarray:
 
 
 def _round(seed: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key", kind="stable")
-        return pdf.assign(p=pivotal(pdf["p"].to_numpy(), pdf["key"].to_numpy().view(np.uint64), seed))
+    def run(t: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t, [("key", "ascending")]))
+        return t.set_column(t.schema.get_field_index("p"), "p", pa.array(pivotal(t.column("p").to_numpy(), t.column("key").to_numpy().view(np.uint64), seed)))
 
     return run
 
@@ -93,7 +95,7 @@ def copies(docs: DataFrame, *, weights: Mapping[str, float] | None = None, defau
     e, done, groups, run = e.select(columns), None, ["source", "bucket"], _round(seed)
     schema = e.schema
     while True:
-        rows = C.cut(e.groupBy(*groups).applyInPandas(run, schema))
+        rows = C.cut(e.groupBy(*groups).applyInArrow(run, schema))
         whole = rows.where("p = 0 or p = 1")
         done = whole if done is None else done.unionByName(whole)
         left = rows.where("p > 0 and p < 1")
@@ -112,6 +114,8 @@ def copies(docs: DataFrame, *, weights: Mapping[str, float] | None = None, defau
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", **settings: object) -> DataFrame:
     """The input with each row as many times as copies() says."""
-    c = copies(docs, id_col=id_col, **settings).select(F.col(id_col).alias("__id"), F.col("copies").alias("__copies")).where("__copies > 0")
-    rows = docs.join(c, docs[f"`{id_col}`"].eqNullSafe(c["__id"])).drop("__id")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)
+    key, n, copy = C.free(docs, "mixed_id"), C.free(docs, "mixed_copies"), C.free(docs, "mixed_copy")
+    c = copies(docs, id_col=id_col, **settings).select(F.col(id_col).alias(key), F.col("copies").cast("int").alias(n)).where(F.col(n) > 0)
+    rows = docs.join(c, docs[f"`{id_col}`"].eqNullSafe(c[key]))
+    columns = [f"`{x}`" for x in docs.columns]
+    return rows.select(*columns, F.explode(F.array_repeat(F.lit(0), F.col(n))).alias(copy)).select(columns)

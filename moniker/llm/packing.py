@@ -5,11 +5,12 @@ that fits, until none fits. Then its smallest document, of size s, is replaced b
 sum to the most that is over s and at most s + the gap, if there are two such: they fit the expanded gap more tightly. The replaced document
 is unpacked again. A document longer than a bin is first cut into pieces of the capacity and one rest, so all text is packed.
 
-Documents are packed within buckets of about BUCKET characters by hash of id, as many as the input needs, so buckets are packed in
+Documents are packed within buckets of about BUCKET characters by a hash of text, id and the row's number, as many as the input needs, so buckets are packed in
 parallel and the memory a task needs doesn't grow; one bin a bucket is left partly empty, at worst.
 
 Defined results: of equal sizes the row with the least (id, hash of text) goes first, null ids before others. Empty and null texts are put in no bin.
-Repeated rows are packed each by itself. An empty table gives an empty result. Other columns don't matter.
+Repeated rows are packed each by itself, and spread over buckets. An empty table gives an empty result. Other columns don't matter. Ids are never changed, whatever
+nulls are beside them.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from __future__ import annotations
 from collections import defaultdict, deque
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,25 +94,25 @@ def pack(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def _bucket(capacity: int, with_text: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_null=pdf["id"].notna()).sort_values(["_null", "id", "h"], kind="stable")
-        size, row = pdf["size"].to_numpy(), np.arange(len(pdf))
+    def run(t: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t, [("id", "ascending"), ("h", "ascending")], null_placement="at_start"))
+        size, row = t.column("size").to_numpy(), np.arange(t.num_rows)
         n = np.maximum(1, -(-size // capacity))
         of = np.repeat(row, n)
         start = (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)) * capacity
         length = np.minimum(size[of] - start, capacity)
         bins = pack(length.tolist(), capacity)
-        ids = pdf["id"].tolist()
-        ids = [None if pd.isna(x) else x for x in ids]
-        texts = pdf["text"].tolist() if with_text else None
-        out = {"bucket": [int(pdf["bucket"].iloc[0])] * len(bins), "bin": list(range(len(bins)))}
-        out["doc_ids"] = [[ids[of[i]] for i in b] for b in bins]
-        out["starts"] = [[int(start[i]) for i in b] for b in bins]
-        out["lengths"] = [[int(length[i]) for i in b] for b in bins]
-        out["filled"] = [int(sum(length[i] for i in b)) for b in bins]
-        if texts is not None:
-            out["texts"] = [[texts[of[i]][start[i] : start[i] + length[i]] for i in b] for b in bins]
-        return pd.DataFrame(out)
+        inside = np.concatenate([np.array(b, np.int64) for b in bins])
+        offsets = np.r_[0, np.cumsum([len(b) for b in bins])].astype(np.int32)
+        of, start, length = of[inside], start[inside], length[inside]
+        listed = lambda values: pa.ListArray.from_arrays(pa.array(offsets), values)
+        ids = t.column("id").combine_chunks()
+        out = {"bucket": pa.array(np.repeat(t.column("bucket")[0].as_py(), len(bins))), "bin": pa.array(np.arange(len(bins), dtype=np.int64)), "doc_ids": listed(ids.take(pa.array(of)))}
+        out |= {"starts": listed(pa.array(start)), "lengths": listed(pa.array(length)), "filled": pa.array(np.add.reduceat(length, offsets[:-1]))}
+        if with_text:
+            texts = t.column("text").to_pylist()
+            out["texts"] = listed(pa.array([texts[i][a : a + k] for i, a, k in zip(of.tolist(), start.tolist(), length.tolist(), strict=True)], pa.string()))
+        return pa.table(out)
 
     return run
 
@@ -124,6 +126,7 @@ def packed(docs: DataFrame, *, capacity: int = CAPACITY, with_text: bool = False
     if not with_text:
         sized = C.cut(sized.drop("text"))
     total = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    sized = sized.withColumn("bucket", F.pmod("h", F.lit(C.buckets(total, BUCKET))))
+    # rows that are repeated in full have one hash, so the row's number takes part
+    sized = sized.withColumn("bucket", F.pmod(F.xxhash64("h", F.monotonically_increasing_id()), F.lit(C.buckets(total, BUCKET))))
     schema = f"bucket long, bin long, doc_ids array<{kind}>, starts array<long>, lengths array<long>, filled long" + ", texts array<string>" * with_text
-    return sized.groupBy("bucket").applyInPandas(_bucket(capacity, with_text), schema)
+    return sized.groupBy("bucket").applyInArrow(_bucket(capacity, with_text), schema)
