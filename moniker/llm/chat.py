@@ -29,18 +29,30 @@ BEGIN, END = "<|im_start|>", "<|im_end|>"
 
 
 def log_of_turns(conversations: DataFrame) -> DataFrame:
-    """The log of a table conv_id, turn, role, text: each line of a turn is a delta, numbered within its conversation by turn and line."""
-    c = C.pick(conversations, conv_id="conv_id", turn="turn", role="role", text="text")
-    lines = c.select("conv_id", "turn", "role", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "text"))
-    return lines.select("conv_id", (F.col("turn") * F.lit(1 << 32) + F.col("line")).alias("seq"), "turn", "role", F.lit("delta").alias("kind"), F.when(F.col("line") > 0, F.concat(F.lit("\n"), "text")).otherwise(F.col("text")).alias("text"))
+    """A log of how the turns of a table conv_id, turn, role, text may have come about.
+
+    Each line of a turn is a delta, the first one after an edit that begins the message anew. By hash of conversation and turn a third of the messages begin with
+    a draft that this edit replaces, and a third are regenerated after a wrong next turn had been made, which goes by that. Sequence
+    numbers are (turn, role, hash of the text, number in the turn): of several rows of one turn the last in this order stays.
+    """
+    c = C.pick(conversations, conv_id="conv_id", turn="turn", role="role", text="text").where("conv_id is not null and turn is not null")
+    c = c.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    event = lambda turn, kind, text: F.struct(turn.alias("turn"), F.lit(kind).alias("kind"), text.alias("text"))
+    lines, turn, way = F.split("text", "\n", -1), F.col("turn"), F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3))
+    begin = F.when(way == 0, F.array(event(turn, "message", F.lit("draft of ")), event(turn, "delta", F.col("role")), event(turn, "edit", F.lit(""))))
+    begin = begin.when(way == 1, F.array(event(turn, "edit", F.lit(""))))
+    begin = begin.otherwise(F.array(event(turn, "delta", F.lit("wrong")), event(turn + 1, "message", F.lit("wrong, too")), event(turn, "regenerate", F.lit(""))))
+    deltas = F.transform(lines, lambda x, i: event(turn, "delta", F.when(i > 0, F.concat(F.lit("\n"), x)).otherwise(x)))
+    e = c.select("conv_id", turn.alias("made"), "role", F.md5("text").alias("of"), F.posexplode(F.concat(begin, deltas)).alias("i", "e"))
+    return e.select("conv_id", F.struct("made", "role", "of", "i").alias("seq"), "e.turn", "role", "e.kind", "e.text")
 
 
 def messages(events: DataFrame) -> DataFrame:
-    """conv_id, turn, role, content of the final messages of a log conv_id, seq, turn, role, kind, text."""
+    """conv_id, turn, role, content of the final messages of a log conv_id, seq, turn, role, kind, text. seq may be of any type that can be ordered."""
     e = C.pick(events, conv_id="conv_id", seq="seq", turn="turn", role="role", kind="kind", text="text").where("conv_id is not null and turn is not null")
     # one shuffle serves all that follows: the distinct rows, both windows and the messages
     e = e.repartition("conv_id").distinct()
-    e = e.select("conv_id", F.coalesce("seq", F.lit(-(1 << 62))).alias("seq"), "turn", "role", F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("text", F.lit("")).alias("text"))
+    e = e.select("conv_id", "seq", "turn", "role", F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("text", F.lit("")).alias("text"))
     # equal sequence numbers: rank decides, within a conversation
     order = F.struct("seq", "kind", F.coalesce("role", F.lit("")), "text")
     e = e.withColumn("at", order)
@@ -65,7 +77,9 @@ def render(events: DataFrame) -> DataFrame:
 
 
 SQL = f"""
-with e as (select distinct conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text from conversations where conv_id is not null and turn is not null)
+with e as (
+  select conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text from conversations where conv_id is not null and turn is not null
+  qualify row_number() over (partition by conv_id, turn order by coalesce(role, 'unknown') desc, md5(coalesce(text, '')) desc) = 1)
 select conv_id, count(*) as n_messages,
        string_agg('{BEGIN}' || role || chr(10) || text || '{END}' || chr(10), '' order by turn) as rendered
 from e where regexp_replace(text, '[ \\t\\r\\n]+', '', 'g') <> '' group by conv_id
