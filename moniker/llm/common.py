@@ -6,11 +6,12 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -81,6 +82,32 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
+SIEVE_BITS = 1 << 26
+
+
+def sieve(df: DataFrame, key: Column, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """df in two parts: rows whose key (a hash of 64 bits) may be among those of `wanted`, a table of one column, and rows whose key surely isn't.
+
+    So that a join with `wanted` needn't shuffle the second. A Bloom filter decides, of 16 to 32 bits a key and SIEVE_BITS (8 MB) at most, the size of what is
+    broadcast; with more keys than that holds (about 20 million) all rows are in the first part, and the join gives the same.
+    """
+    spark, name = df.sparkSession, wanted.columns[0]
+    n = wanted.count()
+    size = 1 << max(16, min(SIEVE_BITS.bit_length() - 1, (16 * n).bit_length()))
+    if 3 * n > size:
+        return df, df.where(F.lit(False))
+    place = lambda k: (k.bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned(k, 32).bitwiseAND(F.lit(size - 1)))
+    words = wanted.select(F.explode(F.array(*place(F.col(name)))).alias("p")).select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b"))
+    words = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(size // 64, np.int64)
+    bits[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    held = free(df, "sieve_bits")
+    one = F.broadcast(spark.createDataFrame(pa.table({held: pa.array([bits], pa.list_(pa.int64()))})))
+    true = lambda p: F.getbit(F.get(held, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1
+    may = reduce(Column.__and__, map(true, place(key)))
+    return df.join(one, may, "left_semi"), df.join(one, may, "left_anti")
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under internal names: other columns of the input can't clash with them."""
     return df.select(*[df[f"`{name}`"].alias(alias) for alias, name in columns.items()])

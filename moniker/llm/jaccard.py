@@ -127,6 +127,9 @@ class Signatures:
     def many(self, i: int, others: np.ndarray) -> np.ndarray:
         return self._compare(len(others), lambda _, at: self.sig[i, at : at + STEP][None], lambda k, at: self.sig[others[k], at : at + STEP])
 
+    def likely(self, a: np.ndarray, b: np.ndarray | None) -> Iterator[tuple[int, None]]:
+        return ((int(i), None) for i in a)
+
 
 class Sets:
     """Exact comparison of sets of hashes, each ascending. Sets become rows of bits over the hashes that several of them have."""
@@ -226,8 +229,9 @@ def _matches(rows: DataFrame, n: int, threshold: float, tolerance: float) -> Dat
     C.discard(edges)
 
     def contents(known: DataFrame) -> DataFrame:
-        wanted = known.join(weights.select("rid", "row"), "rid")
-        return rows.select("row", "text").join(wanted, "row").select("rid", "label", "m", "bytes", "g", "home", "text").mapInArrow(_sets(n), "rid long, label long, m long, bytes long, g long, home long, contents binary")
+        wanted = C.cut(known.join(weights.select("rid", "row"), "rid"))
+        may, _ = C.sieve(rows.select("row", "text"), F.col("row"), wanted.select("row"))
+        return may.join(wanted.hint("merge"), "row").select("rid", "label", "m", "bytes", "g", "home", "text").mapInArrow(_sets(n), "rid long, label long, m long, bytes long, g long, home long, contents binary")
 
     found = links.resolve(labels, weights.select("rid", "m", "bytes"), contents, Sets(threshold))
     # rows whose set is another one with the same hash, if there ever are any, match nothing
@@ -257,7 +261,8 @@ def keep_one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     marked = C.cut(found.join(stays, "cls").select("id", "row", (F.col("row") == F.col("stays.row")).alias("stays"), "copies").where("not stays or copies > 1"))
     key = C.free(docs, "row_hash")
     keyed = docs.withColumn(key, F.xxhash64(docs[f"`{id_col}`"], docs[f"`{text_col}`"]))
-    on = lambda m: (keyed[key] == m["row"]) & keyed[f"`{id_col}`"].eqNullSafe(m["id"])
+    on = lambda d, m: (d[key] == m["row"]) & d[f"`{id_col}`"].eqNullSafe(m["id"])
     # written on its own, as it is mostly empty, and its known size then spares this branch a shuffle of texts
     again = C.cut(marked.where("stays").select("id", "row").coalesce(1))
-    return keyed.join(marked, on(marked), "left_anti").unionByName(keyed.join(again, on(again), "left_semi").dropDuplicates([key])).select([f"`{c}`" for c in docs.columns])
+    may, others = C.sieve(keyed, F.col(key), marked.select("row"))
+    return others.unionByName(may.join(marked, on(may, marked), "left_anti")).unionByName(may.join(again, on(may, again), "left_semi").dropDuplicates([key])).select([f"`{c}`" for c in docs.columns])

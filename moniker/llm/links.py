@@ -26,6 +26,8 @@ from . import common as C
 
 #: Members of a bucket, and members and bytes of contents of a component, that are compared in one task.
 BUCKET, MEMBERS, BYTES = 4096, 2048, 1 << 25
+#: Edges that are united in one task.
+ONE_TASK = 4_000_000
 
 
 def groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -89,16 +91,12 @@ def _forest(sketch: Callable[[list[bytes]], object]):
                 left.append(two)
                 right.append(two + 1)
             for a, z in zip(edge[:-1][size > 2], edge[1:][size > 2], strict=True):
-                f, alike = Forest(z - a), p[a] == q[a]
-                for i in range(z - a):
-                    ok = f.label != f.label[i]
-                    if alike:
-                        ok[: i + 1] = False
-                    elif side[a + i] == 0:
-                        continue
-                    else:
-                        ok &= side[a:z] == 0
-                    j = np.flatnonzero(ok)
+                f = Forest(z - a)
+                first = np.flatnonzero(side[a:z] == 1) if p[a] != q[a] else np.arange(z - a - 1)
+                second = np.flatnonzero(side[a:z] == 0) if p[a] != q[a] else None
+                for i, j in s.likely(a + first, a + second) if second is not None else s.likely(a + first, None):
+                    i, j = i - a, (np.arange(i - a + 1, z - a) if second is None else second) if j is None else j - a
+                    j = j[f.label[j] != f.label[i]]
                     if len(j):
                         j = f.join(i, j[s.many(a + i, a + j)])
                         left.append(np.full(len(j), a + i))
@@ -125,11 +123,14 @@ def _star(sketch: Callable[[list[bytes]], object]):
 def edges_within(members: DataFrame, sketches: DataFrame, sketch: Callable[[list[bytes]], object], block: int | None = None) -> DataFrame:
     """Edges a < b that span what is connected within the buckets. members: bucket, rid, distinct; sketches: rid, sketch.
 
-    sketch makes an object of a list of sketches with pairs(a, b), which compares them in pairs, and many(i, others).
+    sketch makes an object of a list of sketches with pairs(a, b), which compares them in pairs, many(i, others), and likely(a, b), which gives for each of a
+    those of b (of what follows it, if b is None) that many() need be asked about, None being all.
     """
     block = block or BUCKET
     counts = C.cut(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("c")).where("n > 1"))
-    met = members.join(counts, "bucket")
+    # most members are alone in their buckets; both sides of the joins grow with the corpus, so none of them is broadcast
+    met = C.sieve(members, F.col("bucket"), counts.select("bucket"))[0].join(counts.hint("merge"), "bucket")
+    sketches = sketches.hint("merge")
     tasks = lambda df: df.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "side", "rid").mapInArrow(_forest(sketch), "a long, b long")
     zero = F.lit(0).cast("long")
     cold = tasks(met.where(F.col("n") <= block).select("bucket", "rid", zero.alias("p"), zero.alias("q"), zero.alias("side")).join(sketches, "rid"))
@@ -151,26 +152,58 @@ def edges_within(members: DataFrame, sketches: DataFrame, sketch: Callable[[list
     return edges
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label: the least node of each connected component, for the nodes of edges (a, b).
-
-    Each round gives a node the least label around it, then that label's own label; rounds grow with the logarithm of the
-    longest path, and each is written so that lost executors repeat one at most.
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all edges of the task."""
+    parts = [(b.column("a").to_numpy(zero_copy_only=False), b.column("b").to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+    if parts:
+        nodes, at = np.unique(np.concatenate([x for p in parts for x in p]), return_inverse=True)
+        ends = np.split(at, np.cumsum([len(x) for p in parts for x in p])[:-1])
+        left, right = np.concatenate(ends[::2]), np.concatenate(ends[1::2])
+        root = np.arange(len(nodes))
+        while len(left):
+            x, y = root[left], root[right]
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while not (root == root[root]).all():
+                root = root[root]
+            apart = root[left] != root[right]
+            left, right = left[apart], right[apart]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], ["node", "label"])
+
+
+def components(edges: DataFrame, one_task: int | None = None) -> DataFrame:
+    """node, label: the least node of each connected component, for the nodes of edges (a, b). Gives a table of cut().
+
+    Up to `one_task` distinct edges (64 MB) are united in one task. More take rounds of large and small stars: in a round each node's greater
+    neighbours are linked to its least one, then each node's lesser ones. The number of edges never grows, rounds grow with the logarithm of the number of nodes,
+    no node's neighbours are gathered in a row, and each round is written so that lost executors repeat one at most.
     """
-    both = C.cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = C.cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")))
+    one_task = ONE_TASK if one_task is None else one_task
+    e = C.cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    if e.count() <= one_task:
+        out = C.cut(e.select(F.col("u").alias("a"), F.col("v").alias("b")).coalesce(1).mapInArrow(_unite, "node long, label long"))
+        C.discard(e)
+        return out
+
+    def star(pairs: DataFrame) -> DataFrame:
+        """(v, least neighbour of u or u itself) for each (u, v) with v > u (large) as pairs has them."""
+        return pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+
     while True:
-        around = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        hooked = labels.join(around, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("via"))
-        jumped = C.cut(hooked.join(labels.select(F.col("node").alias("at"), F.col("label").alias("further")), F.col("via") == F.col("at")).select("node", "old", F.least("via", "further").alias("label")))
-        C.discard(labels)
-        if not jumped.where("old <> label").take(1):
-            C.discard(both)
-            out = jumped.select("node", "label")
-            out._cut = jumped._cut
+        # large: all neighbours; those above u go to the least
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = both.where("v > u").join(star(both), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # small: u with its lesser neighbours
+        large = C.cut(large)
+        least = star(large)
+        small = large.join(least, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        small = C.cut(small.where("u <> v").distinct())
+        changed = small.join(e, ["u", "v"], "left_anti").take(1) or e.join(small, ["u", "v"], "left_anti").take(1)
+        C.discard(large, e)
+        e = small
+        if not changed:
+            out = C.cut(e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()))
+            C.discard(e)
             return out
-        labels = C.cut(jumped.select("node", "label"))
-        C.discard(jumped)
 
 
 _OUT = ["label", "blk", "rid", "m", "n", "root", "loose"]
@@ -264,10 +297,11 @@ def resolve(labels: DataFrame, weights: DataFrame, contents: Callable[[DataFrame
     sure = hot.where("not loose").join(everywhere, "label").join(tight, ["label", "blk"]).select("rid", (F.col("n") + F.col("everywhere") - F.col("there")).alias("n"))
     counts = sure.unionByName(hot.where("loose").select("rid", "n"))
     edges = hot.select(F.col("rid").alias("a"), F.col("root").alias("b")).unionByName(hot.where("not loose").select(F.col("rid").alias("a"), F.col("label").alias("b")))
+    full = full.where("g > 1")
     parts = hot.where("loose").select("rid").join(full, "rid").groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / members), F.ceil(F.sum("bytes") / most_bytes)).alias("parts"))
     parts = C.cut(parts)
     if parts.take(1):
-        state = full.join(hot.select("rid", "loose"), "rid").join(parts, "label")
+        state = full.join(parts, "label").join(hot.select("rid", "loose"), "rid")
         number = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
         p = state.withColumn("part", number("parts")).select("label", F.col("home").alias("blk"), "part", F.lit(0).cast("long").alias("side"), "rid", "m", "loose", "contents")
         q = state.where("loose").withColumn("part", F.pmod(F.xxhash64("rid", F.lit(1)), "parts")).withColumn("blk", number("g")).where("blk <> home").select("label", "blk", "part", F.lit(1).cast("long").alias("side"), "rid", "m", "loose", "contents")

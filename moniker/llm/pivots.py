@@ -138,7 +138,7 @@ class Sketches:
 
     def __init__(self, raw: list[bytes], threshold: float, nearest: dict[int, int]) -> None:
         self.threshold, self.size = threshold, np.array([len(x) for x in raw])
-        self.at, self.of = np.zeros(len(raw), np.int64), {}
+        self.at, self.of, self.mark = np.zeros(len(raw), np.int64), {}, np.zeros(1, np.int8)
         for n in np.unique(self.size):
             rows = np.flatnonzero(self.size == n)
             self.at[rows] = np.arange(len(rows))
@@ -147,14 +147,18 @@ class Sketches:
             k = next(k for d, k in nearest.items() if 4 * k + 8 + d == n)
             part = lambda a, z, kind: np.ascontiguousarray(x[:, a:z]).view(kind)  # noqa: E731, B023
             q = part(4 * k + 8, int(n), np.int8).astype(np.float32) * part(4 * k, 4 * k + 4, np.float32)
+            # one mark for each pivot
+            if len(self.mark) <= (most := int(part(0, 4 * k, np.int32).max())):
+                self.mark = np.zeros(most + 1, np.int8)
             self.of[int(n)] = part(0, 4 * k, np.int32), q, part(4 * k + 4, 4 * k + 8, np.float32)[:, 0]
 
     def _may(self, n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         near, q, e = self.of[n]
         least = min(SHARED, near.shape[1])
-        if len(a) == 1:  # one with many: its pivots are found by their places in the order
-            at = np.minimum(np.searchsorted(near[a[0]], near[b]), near.shape[1] - 1)
-            out = (near[a[0]][at] == near[b]).sum(1) >= least
+        if len(a) == 1:  # one with many: its pivots are marked
+            self.mark[near[a[0]]] = 1
+            out = self.mark[near[b]].sum(1) >= least
+            self.mark[near[a[0]]] = 0
         else:
             out = (near[a][:, :, None] == near[b][:, None, :]).sum((1, 2)) >= least
         some = np.flatnonzero(out)
@@ -169,7 +173,6 @@ class Sketches:
             rows = np.flatnonzero(self.size[a] == n)
             for k in range(0, len(rows), 4096):
                 some = rows[k : k + 4096]
-                # a pair alone takes the same path
                 x, y = self.at[a[some]], self.at[b[some]]
                 out[some] = self._may(int(n), x, y)
         return out
@@ -178,6 +181,20 @@ class Sketches:
         return self._may(int(self.size[i]), self.at[[i]], self.at[others])
 
 
+    def likely(self, a: np.ndarray, b: np.ndarray | None) -> Iterator[tuple[int, np.ndarray]]:
+        """By what the cosines may be at most, many at a time; shared pivots are counted for those only."""
+        _, q, e = self.of[int(self.size[a[0]])]
+        among = np.r_[a, a[-1] + 1] if b is None else b
+        x, y = self.at[a], self.at[among]
+        for k in range(0, len(x), 512):
+            i = x[k : k + 512]
+            close = q[i] @ q[y].T + ((1 + e[i])[:, None] * (1 + e[y]) - 1) >= self.threshold - 1e-5
+            for r, row in enumerate(close):
+                j = np.flatnonzero(row) if b is not None else k + r + 1 + np.flatnonzero(row[k + r + 1 :])
+                if len(j):
+                    yield int(a[k + r]), among[j]
+
+
 class Vectors:
     """Exact comparison of vectors of length 1."""
 
