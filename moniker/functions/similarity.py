@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,14 +51,15 @@ def osa(a: str, b: str, most: int = 2) -> int:
 
 
 def _subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence."""
-    old = [0] * (len(b) + 1)
-    for x in a:
-        row = [0]
-        for j, y in enumerate(b, 1):
-            row.append(old[j - 1] + 1 if x == y else max(old[j], row[j - 1]))
-        old = row
-    return old[-1]
+    """Length of the longest common subsequence, a row of the table in the bits of one number."""
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    every = row = (1 << len(a)) - 1
+    for c in b:
+        m = row & where.get(c, 0)
+        row = (row + m | row - m) & every
+    return len(a) - row.bit_count()
 
 
 def ratio(a: str, b: str) -> float:
@@ -95,9 +97,51 @@ def weighted_ratio(a: str, b: str) -> float:
     return max(best, scale * partial_ratio(a, b), 0.95 * scale * token_ratio(a, b))
 
 
+def jaro_many(a: list[str], b: list[str]) -> np.ndarray:
+    """jaro() of pairs, a character of all pairs at a time."""
+    n, la, lb = len(a), np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+    wide, high = int(la.max(initial=0)), int(lb.max(initial=0))
+    if not n or not wide or not high:
+        return np.array([float(x == y and x != "") for x, y in zip(a, b, strict=True)])
+
+    def codes(strings: list[str], width: int, lengths: np.ndarray, filler: int) -> np.ndarray:
+        out = np.full((n, width), filler, np.int64)
+        out[np.arange(width) < lengths[:, None]] = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32)
+        return out
+
+    x, y = codes(a, wide, la, -1), codes(b, high, lb, -2)
+    reach, at, row = np.maximum(la, lb) // 2 - 1, np.arange(high), np.arange(n)
+    free, of = np.ones((n, high), bool), np.full((n, wide), high)
+    for i in range(wide):
+        may = (y == x[:, i : i + 1]) & free & (abs(at - i) <= reach[:, None])
+        j = may.argmax(1)
+        hit = may[row, j]
+        free[row[hit], j[hit]] = False
+        of[hit, i] = j[hit]
+    matched = of < high
+    m = matched.sum(1)
+    # characters of either in order, those without a partner at the end
+    left = np.take_along_axis(x, np.argsort(~matched, axis=1, kind="stable"), 1)
+    right = np.take_along_axis(np.c_[y, np.full(n, -3)], np.sort(of, axis=1), 1)
+    moved = ((left != right) & (np.arange(wide) < m[:, None])).sum(1) // 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = (m / la + m / lb + (m - moved) / m) / 3
+    alike = np.array([u == v and u != "" for u, v in zip(a, b, strict=True)])
+    return np.where(alike, 1.0, np.where(m > 0, out, 0.0))
+
+
 @F.pandas_udf(T.DoubleType())
 def jaro_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else jaro(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    out, known = np.full(len(a), np.nan), (a.notna() & b.notna()).to_numpy()
+    x, y = a[known].tolist(), b[known].tolist()
+    # pairs of like length together, so that little is filled up
+    order = sorted(range(len(x)), key=lambda i: len(x[i]) + len(y[i]))
+    got = np.zeros(len(x))
+    for k in range(0, len(x), 2048):
+        part = order[k : k + 2048]
+        got[part] = jaro_many([x[i] for i in part], [y[i] for i in part])
+    out[known] = got
+    return pd.Series(out)
 
 
 @F.pandas_udf(T.IntegerType())
@@ -108,3 +152,9 @@ def osa_distance(a: pd.Series, b: pd.Series) -> pd.Series:
 @F.pandas_udf(T.DoubleType())
 def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([0.0 if x is None or y is None else weighted_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(T.DoubleType())
+def best_ratio(a: pd.Series, names: pd.Series) -> pd.Series:
+    """The best weighted ratio of a string with any of some names; null without names."""
+    return pd.Series([None if x is None or ys is None or not len(ys) else max(weighted_ratio(x, y) for y in ys) for x, ys in zip(a, names, strict=True)], dtype="float64")

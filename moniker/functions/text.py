@@ -12,38 +12,73 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}_'-]+"
-_CYRILLIC = dict(zip("абвгдеёзийклмнопрстуфыэіѓјќў", "abvgdeezijklmnoprstufyeigjku", strict=True))
-_GREEK = dict(zip("αβγδεζηικλμνξοπρσςτυω", "abgdeziiklmnxoprsstyo", strict=True))
+# one letter for one, by script
+_LETTERS = {
+    "абвгдеёзийклмнопрстуфыэіѓјќўґәөүұһқғңҙҫ": "abvgdeeziiklmnoprstufyeigjkugaouuhkgnzs",
+    "αβγδεζηικλμνξοπρσςτυω": "abgdeziiklmnxoprsstyo",
+    "აბგდევზთიკლმნოპრსტუფქყხჯჰ": "abgdevztiklmnoprstupkqkjh",
+    "աբգդեզէըիլխծկհձղմյնոպջռսվտրւօֆ": "abgdezeeilkckhdgmynopjrsvtrwof",
+    "אבגדהוזחטיכךלמםנןסעפףצץקרת": "abgdhvzhtykklmmnnsappttkrt",
+}
+_ARABIC = dict(zip("ابتجحدرزسصضطظعفقكلمنهويىةآأإگکیؤئپ", "abtjhdrzssdtzafqklmnhwyahaaagkywyp", strict=True))
+_ONE = {a: b for keys, values in _LETTERS.items() for a, b in zip(keys, values, strict=True)} | _ARABIC
+# kana, as syllables; the length mark and small tsu are dropped with the marks
+_KANA = dict(zip("あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわをんぁぃぅぇぉゃゅょ", "a i u e o ka ki ku ke ko sa shi su se so ta chi tsu te to na ni nu ne no ha hi fu he ho ma mi mu me mo ya yu yo ra ri ru re ro wa o n a i u e o ya yu yo".split(), strict=True))
+_VOICED = dict(zip("がぎぐげござじずぜぞだぢづでどばびぶべぼぱぴぷぺぽ", "ga gi gu ge go za ji zu ze zo da ji zu de do ba bi bu be bo pa pi pu pe po".split(), strict=True))
 _LONG = {
     "ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ĳ": "ij", "ŉ": "n", "ǆ": "dz", "ǉ": "lj", "ǌ": "nj", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st",
     "ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ю": "iu", "я": "ia", "ї": "i", "є": "ie", "ђ": "dj", "љ": "lj", "њ": "nj", "ћ": "c", "џ": "dz", "θ": "th", "φ": "ph", "χ": "ch", "ψ": "ps",
-}
+    "ჟ": "zh", "ღ": "gh", "შ": "sh", "ჩ": "ch", "ც": "ts", "ძ": "dz", "წ": "ts", "ჭ": "ch", "թ": "th", "ժ": "zh", "ճ": "ch", "շ": "sh", "չ": "ch", "ց": "ts", "փ": "ph", "ք": "kh", "և": "ev", "ש": "sh",
+    "ث": "th", "ج": "j", "خ": "kh", "ذ": "dh", "ش": "sh", "غ": "gh", "چ": "ch", "ژ": "zh",
+} | _KANA | _VOICED | {chr(ord(k) + 0x60): v for k, v in (_KANA | _VOICED).items()}
 _STROKES = {"ø": "o", "ł": "l", "đ": "d", "ð": "d", "ħ": "h", "ı": "i", "ŧ": "t", "ŀ": "l", "ĸ": "k", "ŋ": "n", "ſ": "s", "ƒ": "f", "’": "'"}
+# Hangul syllables are parted into their letters, of which a syllable has up to three
+_HANGUL = ("g kk n d tt r m b pp s ss * j jj ch k t p h".split(), "a ae ya yae eo e yeo ye o wa wae oe yo u wo we wi yu eu ui i".split(), "* k k k n n n t l k m l l l p l m p p t t ng t t k t p t".split())
 
 
 def _single() -> dict[str, str]:
-    """What folds to one character of ASCII: letters with marks above all."""
-    out = dict(_STROKES)
+    """What folds to one character of ASCII: letters with marks above all, and letters of other scripts."""
+    out = _STROKES | {k: v for k, v in _ONE.items() if k not in _LONG}
     for code in [*range(0xA0, 0x250), *range(0x370, 0x460), *range(0x1E00, 0x2000), *range(0xFF01, 0xFF5F)]:
         c = chr(code)
         bare = "".join(x for x in unicodedata.normalize("NFKD", c.lower()) if not unicodedata.combining(x))
-        bare = _CYRILLIC.get(bare, _GREEK.get(bare, _STROKES.get(bare, bare)))
+        bare = _ONE.get(bare, _STROKES.get(bare, bare))
         if len(c.lower()) == 1 and len(bare) == 1 and bare.isascii() and c == c.lower() and c != bare and bare.isalnum():
             out[c] = bare
     return out
 
 
-_SINGLE = _single()
-_MARKS = "".join(chr(c) for c in range(0x300, 0x370)) + "ьъ"
+_SINGLE = {k: v for k, v in _single().items() if k not in _LONG}
+# combining marks, Hebrew points, Arabic vowels, signs that only soften, lengthen or join
+_MARKS = "".join(chr(c) for c in [*range(0x300, 0x370), *range(0x591, 0x5C8), *range(0x610, 0x61B), *range(0x64B, 0x660), 0x670, 0x640, 0x200C, 0x200D]) + "ьъーっッ"
+_FROM, _TO = "".join(_SINGLE) + _MARKS, "".join(_SINGLE.values())
+_quoted = lambda x: "'" + x.replace("'", "\\'") + "'"
+_PAIRS = f"array({', '.join(f'struct({_quoted(k)} as k, {_quoted(v)} as v)' for k, v in _LONG.items())})"
+_SYLLABLE = "[\uac00-\ud7a3]"
+
+
+def _hangul(text: Column) -> Column:
+    """Syllables of Hangul in Latin letters; a silent letter is nothing."""
+    table = [F.split(F.lit(" ".join(x)), " ") for x in _HANGUL]
+
+    def one(c: Column) -> Column:
+        n = F.ascii(c) - 0xAC00  # the code point
+        at = (F.floor(n / 588), F.floor(n % 588 / 28), n % 28)
+        return F.when(n.between(0, 11171), F.translate(F.concat(*[F.element_at(t, (i + 1).cast("int")) for t, i in zip(table, at, strict=True)]), "*", "")).otherwise(c)
+
+    return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
 def fold(text: Column) -> Column:
-    """Lower case and without accents, in ASCII as far as the letters are known (F1); null gives ""."""
+    """Lower case and without accents, in ASCII as far as the letters are known (F1); null gives "".
+
+    Letters of the Latin, Greek, Cyrillic, Georgian, Armenian, Hebrew and Arabic scripts, kana and Hangul fold; others, Chinese characters among
+    them, stay as they are.
+    """
     low = F.lower(F.coalesce(text, F.lit("")))
-    keys = [k for k in _SINGLE if k not in _LONG]
-    folded = F.translate(low, "".join(keys) + _MARKS, "".join(_SINGLE[k] for k in keys))
-    for k, v in _LONG.items():
-        folded = F.replace(folded, F.lit(k), F.lit(v))
+    # one fold over the pairs: fifty calls of replace() would have to be planned in every place
+    folded = F.aggregate(F.expr(_PAIRS), F.translate(low, _FROM, _TO), lambda t, p: F.replace(t, p["k"], p["v"]))
+    folded = F.when(low.rlike(_SYLLABLE), _hangul(folded)).otherwise(folded)
     return F.when(low.rlike(r"[^\x00-\x7F]"), folded).otherwise(low)
 
 
@@ -58,7 +93,7 @@ def form(token: Column) -> Column:
 
 
 # signs that folding turns into parts of tokens, or deletes between them
-_MOVES = "[’\u0300-\u036fьъЬЪ]"
+_MOVES = "[’\u0300-\u036f\u0591-\u05c7\u0610-\u061a\u064b-\u065f\u0670\u0640\u200c\u200dьъЬЪーっッ]"
 
 
 def raw_forms(text: Column) -> Column:
@@ -81,18 +116,41 @@ def phrase(text: Column) -> Column:
     return F.array_join(forms(text), " ")
 
 
-def tokens(text: Column) -> Column:
-    """array<struct<form, original, start, end>> (F2). Starts are running sums of the lengths of separators and tokens before."""
-    text = F.coalesce(text, F.lit(""))
-    toks = originals(text)
-    seps = F.split(text, TOKEN, -1)
-    # the sum over a growing slice would be quadratic; one fold carries the position in the last element
-    lengths = F.zip_with(F.slice(seps, 1, F.size(toks)), toks, lambda s, t: F.struct(F.length(s).alias("gap"), F.length(t).alias("n")))
-    start = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["gap"] + x["n"])))
-    ends = F.slice(start, 2, F.size(toks))
-    spots = F.zip_with(toks, ends, lambda t, e: F.struct(t.alias("original"), (e - F.length(t)).alias("start"), e.alias("end")))
-    pairs = F.zip_with(raw_forms(text), spots, lambda f, x: F.struct(f.alias("form"), x["original"].alias("original"), x["start"].alias("start"), x["end"].alias("end")))
-    return F.filter(pairs, lambda x: x["form"] != "")
+BLOCK = 256
+
+
+def blocks(lengths: Column) -> Column:
+    """Sums of BLOCK lengths each, and of what is left."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.size(lengths) / BLOCK).cast("int")), lambda b: total(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))))
+
+
+def total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
+
+
+def upto(lengths: Column, sums: Column, n: Column) -> Column:
+    """The sum of the first n lengths, out of the sums of blocks()."""
+    full = F.floor(n / BLOCK).cast("int")
+    return total(F.slice(sums, F.lit(1), full)) + total(F.slice(lengths, full * BLOCK + 1, n - full * BLOCK))
+
+
+def tokens(df: DataFrame, name: str = "tokens", source: str = "text") -> DataFrame:
+    """df with a column array<struct<form, original, start, end>> (F2). Ends are sums of the lengths of separators and tokens before, by blocks."""
+    t = F.coalesce(F.col(source), F.lit(""))
+    rows = once(df, _o=originals(t), _g=F.split(t, TOKEN, -1), _f=raw_forms(t))
+    rows = once(rows, _n=F.transform("_o", lambda x, i: F.length(x) + F.length(F.element_at("_g", i + 1))))
+    rows = once(rows, _b=blocks(F.col("_n")))
+
+    def one(x: Column, i: Column) -> Column:
+        end = upto(F.col("_n"), F.col("_b"), i + 1)
+        return F.struct(F.element_at("_f", i + 1).alias("form"), x.alias("original"), (end - F.length(x)).alias("start"), end.alias("end"))
+
+    return rows.withColumn(name, F.filter(F.transform("_o", one), lambda x: x["form"] != "")).drop("_o", "_g", "_f", "_n", "_b")
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are made once a row, by a generator: the optimizer would put projected expressions into each lambda that uses them."""
+    return df.select("*", F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("_once")).select("*", "_once.*").drop("_once")
 
 
 def strip(text: Column) -> Column:
@@ -101,5 +159,5 @@ def strip(text: Column) -> Column:
 
 
 def with_forms(df: DataFrame, name: str = "t", source: str = "text") -> DataFrame:
-    """df with the forms as a column. It is made by a generator, as the optimizer would put a projected expression into each lambda that uses it."""
-    return df.select("*", F.explode(F.array(forms(F.col(source)))).alias(name))
+    """df with the forms as a column."""
+    return once(df, **{name: forms(F.col(source))})

@@ -25,11 +25,24 @@ def patterns(cluster_rows: DataFrame, settings: Settings = Settings()) -> DataFr
     return found.select("pattern", F.size(t).alias("n_tokens"), F.array_join(F.slice(t, 1, 2), " ").alias("first_bigram"), "schema")
 
 
+def pairs(t: Column, slop: int = 0) -> Column:
+    """array<struct<pos, pair>>: hashes of the token at pos (from 0) with each of the slop + 1 tokens that follow it."""
+    n = lambda g: F.greatest(F.size(t) - 1 - g, F.lit(0))
+    of = lambda g: F.transform(F.zip_with(F.slice(t, 1, n(g)), F.slice(t, 2 + g, n(g)), lambda a, b: F.xxhash64(a, b)), lambda h, i: F.struct(i.alias("pos"), h.alias("pair")))
+    return F.flatten(F.array(*[of(g) for g in range(slop + 1)])) if slop else of(0)
+
+
+def pair_of(t: Column) -> Column:
+    return F.xxhash64(F.element_at(t, 1), F.element_at(t, 2))
+
+
 def candidates(docs: DataFrame, pattern_rows: DataFrame) -> DataFrame:
-    """doc_id, pos, pattern, n_tokens, schema where a document's bigram at pos (from 0) begins a pattern; not yet verified."""
-    forms = X.with_forms(docs).select("doc_id", "t")
-    pairs = F.zip_with(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return forms.select("doc_id", F.posexplode(pairs).alias("pos", "first_bigram")).join(pattern_rows, "first_bigram")
+    """doc_id, pos, pattern, n_tokens, schema where a document's bigram at pos (from 0) begins a pattern; not yet verified.
+
+    The exploded rows have a hash of the bigram and no strings.
+    """
+    found = X.with_forms(docs).select("doc_id", F.explode(pairs(F.col("t"))).alias("p")).select("doc_id", "p.pos", "p.pair")
+    return found.join(pattern_rows.withColumn("pair", pair_of(F.split("pattern", " "))), "pair").drop("pair", "first_bigram")
 
 
 def leftmost_longest(found: Column) -> Column:
@@ -47,19 +60,21 @@ def leftmost_longest(found: Column) -> Column:
 def spans(rows: DataFrame, found: str = "found") -> DataFrame:
     """Replaces positions by surface, start and end. rows: doc_id, text, found: array<struct<first, last, schema, ...>> of positions of tokens with forms.
 
-    Starts are sums of lengths of tokens and separators, for the matched tokens only.
+    Ends are sums of lengths of tokens and separators; sums of blocks of tokens are made once a document. What is exploded has no text.
     """
-    rows = rows.withColumn("_o", X.originals(F.col("text"))).withColumn("_g", F.transform(F.split("text", X.TOKEN, -1), F.length))
-    # original numbers of the tokens that have forms
-    rows = rows.withColumn("_k", F.filter(F.transform(X.raw_forms(F.col("text")), lambda f, i: F.when(f != "", i)), lambda i: i.isNotNull()))
-    rows = rows.select("doc_id", "_o", "_g", "_k", F.explode(found).alias("m"))
-    kept = F.transform(F.slice("_k", F.col("m.first") + 1, F.col("m.last") - F.col("m.first") + 1), lambda i: F.element_at("_o", i + 1))
-    at = lambda p: F.element_at("_k", p + 1)
-    upto = lambda c, n: F.aggregate(F.slice(c, 1, n), F.lit(0), lambda a, x: a + x)
-    lengths = F.transform("_o", F.length)
-    start = upto("_g", at(F.col("m.first")) + 1) + upto(lengths, at(F.col("m.first")))
-    end = upto("_g", at(F.col("m.last")) + 1) + upto(lengths, at(F.col("m.last")) + 1)
-    return rows.select("doc_id", F.array_join(kept, " ").alias("text"), start.alias("start"), end.alias("end"), F.col("m.schema").alias("schema"), F.col("m").alias("match"))
+    text = F.col("text")
+    # _k: original numbers of the tokens that have forms
+    rows = X.once(rows, _o=X.originals(text), _g=F.split("text", X.TOKEN, -1), _k=F.filter(F.transform(X.raw_forms(text), lambda f, i: F.when(f != "", i)), lambda i: i.isNotNull()))
+    rows = X.once(rows, _n=F.transform("_o", lambda x, i: F.length(x) + F.length(F.element_at("_g", i + 1))))
+    rows = X.once(rows, _b=X.blocks(F.col("_n")))
+    end = lambda i: X.upto(F.col("_n"), F.col("_b"), i + 1)
+
+    def place(m: Column) -> Column:
+        first, last = F.element_at("_k", m["first"] + 1), F.element_at("_k", m["last"] + 1)
+        kept = F.transform(F.slice("_k", m["first"] + 1, m["last"] - m["first"] + 1), lambda i: F.element_at("_o", i + 1))
+        return F.struct(F.array_join(kept, " ").alias("text"), (end(first) - F.length(F.element_at("_o", first + 1))).alias("start"), end(last).alias("end"), m.alias("match"))
+
+    return rows.select("doc_id", F.explode(F.transform(found, place)).alias("m")).select("doc_id", "m.text", "m.start", "m.end", F.col("m.match.schema").alias("schema"), "m.match")
 
 
 def extract(docs: DataFrame, pattern_rows: DataFrame) -> DataFrame:

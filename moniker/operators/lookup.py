@@ -6,6 +6,8 @@ complete for edits with swaps of neighbours; only those pairs are verified. Simi
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from ..config import Settings
 from ..functions.keys import name_key, parts
 from ..functions.lattice import common_schema
 from ..functions.phonetic import metaphone_code
-from ..functions.similarity import fuzzy_ratio, jaro_similarity, osa_distance
+from ..functions.similarity import best_ratio, jaro_similarity, osa_distance
 from .clusters import caption
 
 BOOSTS = {"key": 3.0, "name": 2.0, "alias": 1.0}
@@ -30,19 +32,20 @@ def deletions(s: Column) -> Column:
 
 def terms(cluster_rows: DataFrame) -> DataFrame:
     """field, term, key: what queries are compared with."""
-    of = lambda field, c: cluster_rows.select(F.lit(field).alias("field"), c.alias("term"), "key")
-    return of("key", F.col("key")).unionByName(of("name", F.explode("names"))).unionByName(of("alias", F.explode("aliases")))
+    of = lambda field, c: F.transform(c, lambda x: F.struct(F.lit(field).alias("field"), x.alias("term")))
+    return cluster_rows.select("key", F.explode(F.concat(of("key", F.array("key")), of("name", F.col("names")), of("alias", F.col("aliases")))).alias("t")).select("t.field", "t.term", "key")
 
 
 def fuzzy(queries: DataFrame, cluster_rows: DataFrame) -> DataFrame:
     """clean_q, key, score: boosts of the fields with a value within two edits of the cleaned query."""
-    t = terms(cluster_rows)
     left = queries.select("clean_q").distinct().withColumn("v", F.explode(deletions(F.col("clean_q"))))
-    right = t.select("term").distinct().withColumn("v", F.explode(deletions(F.col("term"))))
-    pairs = left.join(right, "v").select("clean_q", "term").distinct()
-    near = pairs.where(F.levenshtein("clean_q", "term", 4) >= 0).withColumn("d", osa_distance("clean_q", "term")).where("d <= 2")
-    boost = F.create_map(*[F.lit(x) for kv in BOOSTS.items() for x in kv])
-    return near.join(t, "term").select("clean_q", "key", "field").distinct().groupBy("clean_q", "key").agg(F.sum(boost[F.col("field")]).alias("score"))
+    right = terms(cluster_rows).withColumn("v", F.explode(deletions(F.col("term"))))
+    pairs = left.join(right, "v").select("clean_q", "term", "key", "field").distinct().withColumn("d", F.levenshtein("clean_q", "term", 4)).where("d >= 0")
+    # two edits without swaps are decided natively; each swap counts two there, so only 3 and 4 need the other metric
+    swaps = lambda c: F.when(F.col("d") > 2, F.col(c))
+    near = pairs.withColumn("o", osa_distance(swaps("clean_q"), swaps("term"))).where("d <= 2 or o <= 2")
+    score = reduce(Column.__add__, [F.max(F.when(F.col("field") == f, F.lit(x)).otherwise(0.0)) for f, x in BOOSTS.items()])
+    return near.groupBy("clean_q", "key").agg(score.alias("score"))
 
 
 def phonetic(queries: DataFrame, code_postings: DataFrame) -> DataFrame:
@@ -66,16 +69,17 @@ def cleaned(queries: DataFrame, settings: Settings) -> DataFrame:
 def ranked(queries: DataFrame, cluster_rows: DataFrame, code_postings: DataFrame | None = None, *, schemata: list[str] | None = None, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """query, clean_q, key, score, rank of the best clusters (L1). With schemata all clusters of any of them are candidates, scores only rank them."""
     q = cleaned(queries, settings)
-    scored = q.join(fuzzy(q, cluster_rows), "clean_q").select("query", "key", "score")
+    scored = q.join(fuzzy(q, cluster_rows), "clean_q").select("query", "clean_q", "key", "score")
     if code_postings is not None:
-        scored = scored.unionByName(phonetic(q, code_postings))
-    scored = scored.groupBy("query", "key").agg(F.round(F.sum("score"), 6).alias("score"))
+        scored = scored.unionByName(q.join(phonetic(q, code_postings), "query").select("query", "clean_q", "key", "score"))
+        scored = scored.groupBy("query", "clean_q", "key").agg(F.round(F.sum("score"), 6).alias("score"))
     if schemata:
         may = cluster_rows.where(F.arrays_overlap("schemata", F.array(*[F.lit(s) for s in schemata]))).select("key")
-        scored = q.select("query").crossJoin(may).join(scored, ["query", "key"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+        # of those that score nothing only the least keys can be among the best, no more than the limit
+        idle = q.crossJoin(F.broadcast(may.orderBy("key").limit(settings.limit))).withColumn("score", F.lit(0.0))
+        scored = scored.join(may, "key", "left_semi").unionByName(idle).groupBy("query", "clean_q", "key").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "key")
-    best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= settings.limit)
-    return best.join(q, "query").select("query", "clean_q", "key", "score", "rank")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= settings.limit).select("query", "clean_q", "key", "score", "rank")
 
 
 def lookup(queries: DataFrame, cluster_rows: DataFrame, code_postings: DataFrame | None = None, *, threshold: float | None = None, schemata: list[str] | None = None, fallback: bool = True, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
@@ -85,15 +89,15 @@ def lookup(queries: DataFrame, cluster_rows: DataFrame, code_postings: DataFrame
     first with a name whose key is (L4). Similar enough is above the threshold, not at it.
     """
     least = settings.fuzzy_threshold if threshold is None else threshold
-    best = ranked(queries, cluster_rows, code_postings, schemata=schemata, settings=settings)
-    pairs = best.select("clean_q", "key").distinct().withColumn("score", jaro_similarity("clean_q", "key"))
-    good = best.drop("score").join(pairs.where(F.col("score") > least), ["clean_q", "key"])
-    hits = good.groupBy("query").agg(F.min_by(F.struct("key", "score"), "rank").alias("h")).select("query", "h.key", "h.score")
+    best = ranked(queries, cluster_rows, code_postings, schemata=schemata, settings=settings).drop("score")
+    rows = best.withColumn("score", jaro_similarity("clean_q", "key"))
     if fallback:
-        rest = best.drop("score").join(hits.select("query"), "query", "left_anti")
-        named = rest.join(cluster_rows.select("key", F.explode("names").alias("name")), "key").withColumn("other", name_key(F.col("name")))
-        ratios = named.select("clean_q", "other").distinct().withColumn("score", fuzzy_ratio("clean_q", "other") / 100)
-        more = named.join(ratios, ["clean_q", "other"]).groupBy("query", "key", "rank").agg(F.max("score").alias("score")).where(F.col("score") > least)
-        hits = hits.unionByName(more.groupBy("query").agg(F.min_by(F.struct("key", "score"), "rank").alias("h")).select("query", "h.key", "h.score"))
-    found = hits.join(cluster_rows, "key")
-    return found.select("query", "key", "names", "aliases", "countries", "schemata", F.round("score", 6).alias("score"), common_schema(F.col("schemata")).alias("common_schema"), caption(F.col("names")).alias("caption"))
+        rows = rows.withColumn("hit", F.max(F.col("score") > least).over(Window.partitionBy("query"))).where((F.col("score") > least) | ~F.col("hit"))
+        rows = rows.join(cluster_rows, "key")
+        named = F.when(~F.col("hit"), F.transform("names", name_key))
+        rows = rows.withColumn("score", F.when(F.col("hit"), F.col("score")).otherwise(best_ratio("clean_q", named) / 100))
+    else:
+        rows = rows.where(F.col("score") > least).join(cluster_rows, "key")
+    found = F.struct("key", "names", "aliases", "countries", "schemata", F.round("score", 6).alias("score"))
+    hits = rows.where(F.col("score") > least).groupBy("query").agg(F.min_by(found, "rank").alias("h")).select("query", "h.*")
+    return hits.withColumns({"common_schema": common_schema(F.col("schemata")), "caption": caption(F.col("names"))})

@@ -1,7 +1,8 @@
 """Reverse search of documents against all stored names, with gaps.
 
-Documents' distinct tokens meet the clusters' postings; clusters that share enough tokens are ranked by BM25 and the best verified: their
-names' tokens must occur in order with at most `slop` other tokens between them in all.
+A name occurs where its tokens come in order with at most `slop` other tokens between them in all. Documents' pairs of near tokens meet the names' first two; where
+they agree the rest is verified within the document. Of documents with any such place the distinct tokens meet the clusters' postings; clusters that share enough
+tokens are ranked by BM25, and places of the best ones' names are mentions. So only few documents are ranked, and no row holds all of a document's clusters.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import MIN_TOKEN_CHARS, MIN_TOKEN_COUNT, Settings
 from ..functions import text as X
 from ..functions.lattice import common_schema
-from .extract import spans
+from .extract import pair_of, pairs, spans
 
 K1, B = 1.2, 0.75
 
@@ -38,37 +39,38 @@ def ranked(pairs: DataFrame, limit: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def in_order(t: Column, name: Column, slop: int) -> Column:
-    """array<struct<first, last>> of the places (from 0) where the tokens `name` occur in t in order with at most `slop` tokens between.
-
-    From each occurrence of the first token the rest is matched as early as may be; the slice bounds what is passed over.
-    """
+def follow(t: Column, name: Column, at: Column, slop: int) -> Column:
+    """The place (from 0) of the last token of `name` where its first is at `at` of t and the others follow, each as early as may be, with at most `slop` tokens
+    between; null if they don't. The slice bounds what is passed over."""
     n = F.size(name)
-    anchors = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: F.element_at(t, i + 1) == F.element_at(name, 1))
+    state = F.struct(F.lit(1).alias("k"), at.alias("at"), at.alias("last"))
 
-    def follow(i: Column) -> Column:
-        state = F.struct(F.lit(1).alias("k"), i.alias("at"), i.alias("last"))
+    def step(s: Column, x: Column) -> Column:
+        hit = (s["k"] < n) & (x == F.element_at(name, F.least(s["k"] + 1, n)))
+        return F.struct((s["k"] + hit.cast("int")).alias("k"), (s["at"] + 1).alias("at"), F.when(hit, s["at"] + 1).otherwise(s["last"]).alias("last"))
 
-        def step(s: Column, x: Column) -> Column:
-            hit = (s["k"] < n) & (x == F.element_at(name, F.least(s["k"] + 1, n)))
-            return F.struct((s["k"] + hit.cast("int")).alias("k"), (s["at"] + 1).alias("at"), F.when(hit, s["at"] + 1).otherwise(s["last"]).alias("last"))
+    end = F.aggregate(F.slice(t, at + 2, n + F.lit(slop - 1)), state, step)
+    return F.when((F.element_at(t, at + 1) == F.element_at(name, 1)) & (end["k"] == n), end["last"])
 
-        end = F.aggregate(F.slice(t, i + 2, n + F.lit(slop - 1)), state, step)
-        return F.when(end["k"] == n, F.struct(i.alias("first"), end["last"].alias("last")))
 
-    return F.filter(F.transform(anchors, follow), lambda m: m.isNotNull())
+def occurrences(docs: DataFrame, named: DataFrame, slop: int) -> DataFrame:
+    """doc_id, text, found: array<struct<first, last, key, schema, is_alias, name>> of documents with occurrences of names (of two tokens or more)."""
+    firsts = named.withColumn("pair", pair_of(F.col("toks")))
+    at = X.with_forms(docs).select("doc_id", F.explode(pairs(F.col("t"), slop)).alias("p")).select("doc_id", "p.pos", "p.pair").join(firsts, "pair").drop("pair")
+    per = at.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "key", "schema", "is_alias", "name", "toks")).alias("c"))
+    rows = X.with_forms(docs.join(per, docs["doc_id"].eqNullSafe(per["doc_id"])).drop(per["doc_id"]))
+    placed = F.transform("c", lambda x: F.struct(x["pos"].alias("first"), follow(F.col("t"), x["toks"], x["pos"], slop).alias("last"), x["key"].alias("key"), x["schema"].alias("schema"), x["is_alias"].alias("is_alias"), x["name"].alias("name")))
+    return rows.select("doc_id", "text", F.filter(placed, lambda x: x["last"].isNotNull()).alias("found")).where(F.size("found") > 0)
 
 
 def percolate(docs: DataFrame, cluster_rows: DataFrame, posting_rows: DataFrame, slop: int = 0, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """doc_id, text (the surface, gaps included), start, end and schema of all mentions; a span has the label of its best-ranked cluster."""
     docs = docs.select("doc_id", "text").where("text is not null")
-    best = ranked(blocked(docs, posting_rows, settings), settings.percolate_block_limit)
     named = cluster_rows.select("key", common_schema(F.col("schemata")).alias("schema"), F.explode(F.concat(F.transform("names", lambda x: F.struct(F.lit(0).alias("is_alias"), x.alias("name"))), F.transform("aliases", lambda x: F.struct(F.lit(1).alias("is_alias"), x.alias("name"))))).alias("n"))
     named = named.select("key", "schema", "n.is_alias", "n.name", X.forms(F.col("n.name")).alias("toks")).where(F.size("toks") >= MIN_TOKEN_COUNT)
-    per = best.join(named, "key").groupBy("doc_id").agg(F.collect_list(F.struct("rank", "is_alias", "name", "toks", "schema")).alias("c"))
-    rows = X.with_forms(docs.join(per, docs["doc_id"].eqNullSafe(per["doc_id"])).drop(per["doc_id"]))
-    likely = F.filter("c", lambda x: F.size(F.array_except(x["toks"], F.col("t"))) == 0)
-    found = F.flatten(F.transform(likely, lambda x: F.transform(in_order(F.col("t"), x["toks"], slop), lambda m: F.struct(m["first"].alias("first"), m["last"].alias("last"), x["schema"].alias("schema"), x["rank"].alias("rank"), x["is_alias"].alias("is_alias"), x["name"].alias("name")))))
-    hits = spans(rows.select("doc_id", "text", found.alias("found")))
-    first = F.min_by(F.struct("text", "schema"), F.struct("match.rank", "match.is_alias", "match.name"))
+    found = occurrences(docs, named, slop)
+    best = ranked(blocked(found, posting_rows, settings), settings.percolate_block_limit).select("doc_id", "key", "rank")
+    hits = spans(found).select("doc_id", "text", "start", "end", "schema", F.col("match.key").alias("key"), F.col("match.is_alias").alias("is_alias"), F.col("match.name").alias("name"))
+    hits = hits.join(best, hits["doc_id"].eqNullSafe(best["doc_id"]) & (hits["key"] == best["key"])).drop(best["doc_id"], best["key"])
+    first = F.min_by(F.struct("text", "schema"), F.struct("rank", "is_alias", "name"))
     return hits.groupBy("doc_id", "start", "end").agg(first.alias("m")).select("doc_id", "m.text", "start", "end", "m.schema")

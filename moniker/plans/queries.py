@@ -14,7 +14,7 @@ from ..functions.phonetic import metaphone_code
 from ..functions.similarity import fuzzy_ratio
 from ..operators import clusters as K
 from ..operators import compare, extract, lookup, percolate
-from ..sources.readers import allowed
+from ..sources.readers import allowed, spread
 from . import gazetteer as G
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,7 +39,7 @@ def _parts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return G.read(spark, sf, "documents").select("doc_id", "text")
+    return spread(G.read(spark, sf, "documents").select("doc_id", "text"))
 
 
 def _found(spark: SparkSession, sf: str) -> DataFrame:

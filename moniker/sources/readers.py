@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 import sys
 import urllib.request
+import zlib
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,18 +17,33 @@ from ..functions.text import strip
 from ..schema import ENTITY, PATTERNS
 
 
-def _local_lines(spark: SparkSession, uri: str, lines: list[str]) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in lines], "value string")
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it is so small that its files' row groups would leave most of them idle (under 16 MB a core, so this shuffle is bounded)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * (16 << 20)
+    return df.repartition(cores) if small and cores > 1 else df
 
 
 def lines(spark: SparkSession, uri: str) -> DataFrame:
     """Lines of what the URI names as `value`: "-" is standard input, http(s) is read by the driver, all else by Spark."""
+    whole = _by_driver(uri)
+    return spark.read.text(uri) if whole is None else spark.createDataFrame([(x,) for x in whole.splitlines()], "value string")
+
+
+def _by_driver(uri: str) -> str | None:
+    """All of standard input or of what http(s) gives, unpacked where it is compressed, every character as it is; None for other URIs."""
     if uri == "-":
-        return _local_lines(spark, uri, sys.stdin.read().splitlines())
-    if uri.startswith(("http://", "https://")):
-        with urllib.request.urlopen(uri) as f:  # noqa: S310
-            return _local_lines(spark, uri, f.read().decode().splitlines())
-    return spark.read.text(uri)
+        return sys.stdin.buffer.read().decode() if hasattr(sys.stdin, "buffer") else sys.stdin.read()
+    if not uri.startswith(("http://", "https://")):
+        return None
+    asked = urllib.request.Request(uri, headers={"Accept-Encoding": "gzip, deflate"})  # noqa: S310
+    with urllib.request.urlopen(asked) as f:  # noqa: S310
+        body, how = f.read(), (f.headers.get("Content-Encoding") or "").lower()
+    if how in ("gzip", "x-gzip") or uri.endswith(".gz") and body[:2] == b"\x1f\x8b":
+        body = gzip.decompress(body)
+    elif how == "deflate":
+        body = zlib.decompress(body)
+    return body.decode()
 
 
 def allowed(entities: DataFrame) -> DataFrame:
@@ -52,9 +69,8 @@ def names(spark: SparkSession, uri: str, schema: str | None = None) -> DataFrame
 
 def _json(spark: SparkSession, uri: str) -> dict:
     """A small description, read whole."""
-    if uri == "-" or uri.startswith(("http://", "https://")):
-        return json.loads("\n".join(r["value"] for r in lines(spark, uri).collect()))
-    return json.loads(spark.read.text(uri, wholetext=True).first()["value"])
+    whole = _by_driver(uri)
+    return json.loads(whole) if whole is not None else json.loads(spark.read.text(uri, wholetext=True).first()["value"])
 
 
 def _beside(uri: str, base: str) -> str:
@@ -83,9 +99,9 @@ def from_rows(spark: SparkSession, rows: Iterable[Mapping]) -> DataFrame:
 
 
 def document(spark: SparkSession, uri: str) -> DataFrame:
-    """The whole input as one document, doc_id 0."""
-    if uri == "-" or uri.startswith(("http://", "https://")):
-        whole = "\n".join(r["value"] for r in lines(spark, uri).collect())
+    """The whole input as one document, doc_id 0 (S7), every character as it is, so that offsets are the input's."""
+    whole = _by_driver(uri)
+    if whole is not None:
         return spark.createDataFrame([(0, whole)], "doc_id long, text string")
     return spark.read.text(uri, wholetext=True).select(F.lit(0).cast("long").alias("doc_id"), F.col("value").alias("text"))
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,11 +57,39 @@ def test_fold(spark, given, folded):
 
 def test_fold_null_and_tokens(spark):
     assert spark.sql("select cast(null as string) s").select(text.fold(F.col("s")).alias("x")).first()["x"] == ""
-    t = one(spark, text.tokens(F.col("s")), s="\U0001f600 Mr. Smith-, 'Jr' - Élan")
+    t = text.tokens(spark.createDataFrame([("\U0001f600 Mr. Smith-, 'Jr' - Élan",)], "text string")).first()["tokens"]
     assert [(x["form"], x["start"], x["end"]) for x in t] == [("mr", 2, 4), ("smith", 6, 12), ("jr", 14, 18), ("elan", 21, 25)]
     assert one(spark, text.phrase(F.col("s")), s="Hello,  World's") == "hello world's"
 
 
+def test_offsets_in_blocks(spark):
+    """Offsets of a text of many blocks of tokens are those of its slices."""
+    long = "".join(f"w{i}{' ' * (i % 5 + 1)}-é{i}'," for i in range(1500))
+    got = text.tokens(spark.createDataFrame([(long,)], "text string")).first()["tokens"]
+    assert len(got) == 3000 and all(long[x["start"] : x["end"]] == x["original"] for x in got)
+
+
+def test_jaro_of_many_pairs():
+    r = random.Random(4)
+    a, b = ([("".join(r.choice("abcd é\U0001f600") for _ in range(r.randint(0, 14)))) for _ in range(2000)] for _ in range(2))
+    b[:300] = a[:300]
+    assert np.allclose(similarity.jaro_many(a, b), [similarity.jaro(x, y) for x, y in zip(a, b, strict=True)], atol=1e-12)
+
+
+def test_subsequence_of_bits():
+    r = random.Random(5)
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = list(itertools.accumulate(range(len(b)), lambda last, j, x=x, row=row: row[j] + 1 if x == b[j] else max(row[j + 1], last), initial=0))
+        return row[-1]
+
+    for _ in range(500):
+        a, b = ("".join(r.choice("abc") for _ in range(r.randint(0, 90))) for _ in range(2))
+        assert similarity._subsequence(a, b) == plain(a, b)
+
+
 def test_keys(spark):
     names = ["Jane Doe", "Doe, Jane", "doe jane", "Jané Doe", "Mrs. Jane Doe"]
     rows = spark.createDataFrame([(n,) for n in names], ["n"]).select(keys.name_key(F.col("n")).alias("k")).distinct().collect()
