@@ -53,12 +53,16 @@ _SINGLE = {k: v for k, v in _single().items() if k not in _LONG}
 _MARKS = "".join(chr(c) for c in [*range(0x300, 0x370), *range(0x591, 0x5C8), *range(0x610, 0x61B), *range(0x64B, 0x660), 0x670, 0x640, 0x200C, 0x200D]) + "ьъーっッ"
 _FROM, _TO = "".join(_SINGLE) + _MARKS, "".join(_SINGLE.values())
 _quoted = lambda x: "'" + x.replace("'", "\\'") + "'"
-_PAIRS = f"array({', '.join(f'struct({_quoted(k)} as k, {_quoted(v)} as v)' for k, v in _LONG.items())})"
-_SYLLABLE = "[\uac00-\ud7a3]"
+def _pairs(keys: list[str]) -> Column:
+    return F.expr(f"array({', '.join(f'struct({_quoted(k)} as k, {_quoted(_LONG[k])} as v)' for k in keys)})")
 
 
-def _hangul(text: Column) -> Column:
-    """Syllables of Hangul in Latin letters; a silent letter is nothing."""
+# what no text in Latin letters has
+_OTHER = "[\u0370-\u1dff\u3000-\ud7ff\uf900-\uffdc]"
+
+
+def _hangul(text: Column, limit: Column) -> Column:
+    """Syllables of Hangul in Latin letters; a silent letter is nothing. limit: 1 leaves a text without any in one piece."""
     table = [F.split(F.lit(" ".join(x)), " ") for x in _HANGUL]
 
     def one(c: Column) -> Column:
@@ -66,7 +70,7 @@ def _hangul(text: Column) -> Column:
         at = (F.floor(n / 588), F.floor(n % 588 / 28), n % 28)
         return F.when(n.between(0, 11171), F.translate(F.concat(*[F.element_at(t, (i + 1).cast("int")) for t, i in zip(table, at, strict=True)]), "*", "")).otherwise(c)
 
-    return F.array_join(F.transform(F.split(text, ""), one), "")
+    return F.array_join(F.transform(F.split(text, "", limit), one), "")
 
 
 def fold(text: Column) -> Column:
@@ -76,10 +80,13 @@ def fold(text: Column) -> Column:
     them, stay as they are.
     """
     low = F.lower(F.coalesce(text, F.lit("")))
-    # one fold over the pairs: fifty calls of replace() would have to be planned in every place
-    folded = F.aggregate(F.expr(_PAIRS), F.translate(low, _FROM, _TO), lambda t, p: F.replace(t, p["k"], p["v"]))
-    folded = F.when(low.rlike(_SYLLABLE), _hangul(folded)).otherwise(folded)
-    return F.when(low.rlike(r"[^\x00-\x7F]"), folded).otherwise(low)
+    folded = F.translate(low, _FROM, _TO)
+    other = low.rlike(_OTHER)
+    # a fold over pairs: a call of replace() for each would have to be planned in every place
+    pairs = F.when(other, _pairs(list(_LONG))).otherwise(_pairs([k for k in _LONG if ord(k) < 0x370 or ord(k) >= 0xFB00]))
+    folded = F.aggregate(pairs, folded, lambda t, p: F.replace(t, p["k"], p["v"]))
+    folded = _hangul(folded, F.when(other, -1).otherwise(1))
+    return F.when(F.octet_length(low) > F.char_length(low), folded).otherwise(low)
 
 
 def originals(text: Column) -> Column:

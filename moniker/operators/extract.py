@@ -50,21 +50,26 @@ def leftmost_longest(found: Column) -> Column:
 
     A match begins two tokens after the last token of the one before at the earliest, as both would need the space between.
     """
-    ordered = F.array_sort(found, lambda a, b: F.when(a["pos"] != b["pos"], a["pos"] - b["pos"]).otherwise(b["n"] - a["n"]))
-    kind = lambda a: F.struct(F.lit(-2).alias("last"), a.alias("out"))
-    start = kind(F.filter(found, lambda x: F.lit(False)))
+    ordered = F.transform(F.array_sort(F.transform(found, lambda x: F.struct(x["pos"].alias("pos"), (-x["n"]).alias("least"), x.alias("m")))), lambda x: x["m"])
+    start = F.struct(F.lit(-2).alias("last"), F.slice(found, 1, F.lit(0)).alias("out"))
     step = lambda acc, x: F.when(x["pos"] > acc["last"] + 1, F.struct((x["pos"] + x["n"] - 1).alias("last"), F.concat(acc["out"], F.array(x)).alias("out"))).otherwise(acc)
     return F.aggregate(ordered, start, step)["out"]
 
 
+def with_both(df: DataFrame) -> DataFrame:
+    """df with the raw forms f of all tokens of its text and the forms t that aren't empty."""
+    return X.once(X.once(df, f=X.raw_forms(F.col("text"))), t=F.filter("f", lambda x: x != ""))
+
+
 def spans(rows: DataFrame, found: str = "found") -> DataFrame:
-    """Replaces positions by surface, start and end. rows: doc_id, text, found: array<struct<first, last, schema, ...>> of positions of tokens with forms.
+    """Replaces positions by surface, start and end. rows: doc_id, text, f (raw forms of all tokens), found: array<struct<first, last, schema, ...>> of positions of
+    tokens with forms.
 
     Ends are sums of lengths of tokens and separators; sums of blocks of tokens are made once a document. What is exploded has no text.
     """
     text = F.col("text")
     # _k: original numbers of the tokens that have forms
-    rows = X.once(rows, _o=X.originals(text), _g=F.split("text", X.TOKEN, -1), _k=F.filter(F.transform(X.raw_forms(text), lambda f, i: F.when(f != "", i)), lambda i: i.isNotNull()))
+    rows = X.once(rows, _o=X.originals(text), _g=F.split("text", X.TOKEN, -1), _k=F.filter(F.transform("f", lambda f, i: F.when(f != "", i)), lambda i: i.isNotNull()))
     rows = X.once(rows, _n=F.transform("_o", lambda x, i: F.length(x) + F.length(F.element_at("_g", i + 1))))
     rows = X.once(rows, _b=X.blocks(F.col("_n")))
     end = lambda i: X.upto(F.col("_n"), F.col("_b"), i + 1)
@@ -82,7 +87,7 @@ def extract(docs: DataFrame, pattern_rows: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text").where("text is not null")
     c = candidates(docs, pattern_rows)
     per = c.groupBy("doc_id").agg(F.collect_set(F.struct("pos", F.col("n_tokens").alias("n"), "pattern", "schema")).alias("c"))
-    rows = X.with_forms(docs.join(per, docs["doc_id"].eqNullSafe(per["doc_id"])).drop(per["doc_id"]))
+    rows = with_both(docs.join(per, docs["doc_id"].eqNullSafe(per["doc_id"])).drop(per["doc_id"]))
     true = F.filter("c", lambda x: F.array_join(F.slice("t", x["pos"] + 1, x["n"]), " ") == x["pattern"])
     chosen = F.transform(leftmost_longest(true), lambda x: F.struct(x["pos"].alias("first"), (x["pos"] + x["n"] - 1).alias("last"), x["schema"].alias("schema")))
-    return spans(rows.select("doc_id", "text", chosen.alias("found"))).drop("match")
+    return spans(X.once(rows, found=chosen).where(F.size("found") > 0).select("doc_id", "text", "f", "found")).drop("match")

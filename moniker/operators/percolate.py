@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import MIN_TOKEN_CHARS, MIN_TOKEN_COUNT, Settings
 from ..functions import text as X
 from ..functions.lattice import common_schema
-from .extract import pair_of, pairs, spans
+from .extract import pair_of, pairs, spans, with_both
 
 K1, B = 1.2, 0.75
 
@@ -54,13 +54,13 @@ def follow(t: Column, name: Column, at: Column, slop: int) -> Column:
 
 
 def occurrences(docs: DataFrame, named: DataFrame, slop: int) -> DataFrame:
-    """doc_id, text, found: array<struct<first, last, key, schema, is_alias, name>> of documents with occurrences of names (of two tokens or more)."""
+    """doc_id, text, f, found: array<struct<first, last, key, schema, is_alias, name>> of documents with occurrences of names (of two tokens or more)."""
     firsts = named.withColumn("pair", pair_of(F.col("toks")))
     at = X.with_forms(docs).select("doc_id", F.explode(pairs(F.col("t"), slop)).alias("p")).select("doc_id", "p.pos", "p.pair").join(firsts, "pair").drop("pair")
     per = at.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "key", "schema", "is_alias", "name", "toks")).alias("c"))
-    rows = X.with_forms(docs.join(per, docs["doc_id"].eqNullSafe(per["doc_id"])).drop(per["doc_id"]))
+    rows = with_both(docs.join(per, docs["doc_id"].eqNullSafe(per["doc_id"])).drop(per["doc_id"]))
     placed = F.transform("c", lambda x: F.struct(x["pos"].alias("first"), follow(F.col("t"), x["toks"], x["pos"], slop).alias("last"), x["key"].alias("key"), x["schema"].alias("schema"), x["is_alias"].alias("is_alias"), x["name"].alias("name")))
-    return rows.select("doc_id", "text", F.filter(placed, lambda x: x["last"].isNotNull()).alias("found")).where(F.size("found") > 0)
+    return X.once(rows, found=F.filter(placed, lambda x: x["last"].isNotNull())).where(F.size("found") > 0).select("doc_id", "text", "f", "found")
 
 
 def percolate(docs: DataFrame, cluster_rows: DataFrame, posting_rows: DataFrame, slop: int = 0, settings: Settings = Settings()) -> DataFrame:  # noqa: B008

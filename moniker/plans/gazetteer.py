@@ -37,6 +37,19 @@ def part_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(F.concat_ws("-", F.lit("p"), "p_partkey").alias("id"), schema.alias("schema"), _properties(F.col("p_name"), F.col("p_brand"), F.col("p_type")).alias("properties"))
 
 
+FORMS = ("Bank", "Holding Ltd", "Group Inc", "International GmbH", "Trading Company")
+GIVEN = ("Jane", "John", "Maria")
+
+
+def nation_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From `nation`: a company with one of FORMS after the nation's name, whose alias has the next one, and a person with one of GIVEN before it."""
+    of = lambda words, k: F.element_at(F.array(*[F.lit(w) for w in words]), (k % len(words) + 1).cast("int"))
+    n, key, name = read(spark, sf_dir, "nation"), F.col("n_nationkey"), F.col("n_name")
+    company = n.select(F.concat_ws("-", F.lit("c"), key).alias("id"), F.lit("Company").alias("schema"), _properties(F.concat_ws(" ", name, of(FORMS, key)), F.concat_ws(" ", name, of(FORMS, key + 1)), name).alias("properties"))
+    person = n.select(F.concat_ws("-", F.lit("n"), key).alias("id"), F.lit("Person").alias("schema"), _properties(F.concat_ws(" ", of(GIVEN, key), name), F.lit(None).cast("string"), name).alias("properties"))
+    return company.unionByName(person)
+
+
 def clusters_of(entities: DataFrame) -> DataFrame:
     return K.clusters(K.facts(K.unpack(allowed(entities))))
 

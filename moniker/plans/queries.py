@@ -14,7 +14,8 @@ from ..functions.phonetic import metaphone_code
 from ..functions.similarity import fuzzy_ratio
 from ..operators import clusters as K
 from ..operators import compare, extract, lookup, percolate
-from ..sources.readers import allowed, spread
+from ..sources import writers
+from ..sources.readers import allowed, entities, names, spread
 from . import gazetteer as G
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -285,16 +286,36 @@ def phonetic_codes(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query
 def facet_filter_symbols(spark: SparkSession, sf: str) -> DataFrame:
-    """P7, P8, F7."""
-    s = K.symbols(_parts(spark, sf).withColumn("aliases", F.array(F.lit("Acme Holding Ltd"))))
-    return K.with_symbols(s, ["ORG_CLASS:ltd", "SYMBOL:bank"]).select("key", _flat("symbols"), _flat("qids"))
+    """Organisations named after nations, those that are banks or limited companies."""
+    return K.with_symbols(K.symbols(G.clusters_of(G.nation_entities(spark, sf))), ["ORG_CLASS:ltd", "SYMBOL:bank"]).select("key", _flat("symbols"), _flat("qids"))
+
+
+@_query
+def facet_filter_qid(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the same table's persons those of one given name."""
+    return K.with_qid(K.symbols(G.clusters_of(G.nation_entities(spark, sf))), K.QIDS["jane"]).select("key", _flat("symbols"), _flat("qids"))
 
 
 @_query
 def fuzzy_ratios(spark: SparkSession, sf: str) -> DataFrame:
-    """F9 between the keys."""
-    c = _parts(spark, sf).select("key")
-    return c.join(c.select(F.col("key").alias("other")), F.col("key") < F.col("other")).withColumn("ratio", F.round(fuzzy_ratio("key", "other"), 4))
+    """F9 of queries and the keys that L1 ranks for them; no SQL, as the ratio isn't SQL's."""
+    return lookup.ranked(G.typos(spark, sf), _parts(spark, sf)).select("query", "key", F.round(fuzzy_ratio("clean_q", "key"), 4).alias("ratio"))
+
+
+@_query
+def scan_ndjson(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities written as newline-delimited JSON and scanned again."""
+    at = writers.scratch(spark)
+    writers.entities_json(G.part_entities(spark, sf), at)
+    return entities(spark, at).select("id", "schema", F.col("properties")["name"][0].alias("name"))
+
+
+@_query
+def scan_name_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """A list of names, one a line."""
+    at = writers.scratch(spark)
+    G.read(spark, sf, "part").select(F.concat(F.lit("  "), "p_name", F.lit(" ")).alias("value")).write.text(at)
+    return names(spark, at, "Company").select("id", "schema", F.col("properties")["name"][0].alias("name"))
 
 
 @_query

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.keys import LEGAL_FORMS, PREFIXES
+from ..operators.clusters import QIDS, SYMBOLS
 
 R = r"[\p{L}\p{N}_''-]+"
 
@@ -47,6 +48,10 @@ BENCH_ENTITIES = f"""ents as (
 PART_ENTITIES = """ents as (
   select 'p-' || p_partkey as id, case p_partkey % 4 when 0 then 'Company' when 1 then 'Organization' when 2 then 'Vessel' else 'PublicBody' end as schema,
          p_name as name, p_brand as alias, p_type as country from part)"""
+NATION_ENTITIES = """ents as (
+  select 'c-' || n_nationkey as id, 'Company' as schema, n_name || ' ' || f[n_nationkey % 5 + 1] as name, n_name || ' ' || f[(n_nationkey + 1) % 5 + 1] as alias, n_name as country
+  from nation, (select ['Bank', 'Holding Ltd', 'Group Inc', 'International GmbH', 'Trading Company'] as f)
+  union all select 'n-' || n_nationkey, 'Person', ['Jane', 'John', 'Maria'][n_nationkey % 3 + 1] || ' ' || n_name, null, n_name from nation)"""
 ALLOWED = "schema in ('LegalEntity', 'Organization', 'PublicBody', 'Company', 'Person', 'Address')"
 
 
@@ -65,7 +70,14 @@ def clusters(entities: str) -> str:
   select key, {of('name')} as names, {of('alias')} as aliases, {of('country')} as countries, list_sort(list(distinct schema)) as schemata from facts group by key)"""
 
 
-BENCH, PARTS = clusters(BENCH_ENTITIES), clusters(PART_ENTITIES)
+def look(table: dict[str, str]) -> str:
+    return f"list_sort(list_distinct(list_filter(list_transform(p, lambda x: case x {' '.join(f"when '{k}' then '{v}'" for k, v in table.items())} end), lambda x: x is not null)))"
+
+
+BENCH, PARTS, NATIONS = clusters(BENCH_ENTITIES), clusters(PART_ENTITIES), clusters(NATION_ENTITIES)
+FACETS = f"""with {NATIONS}, named as (select key, list_distinct(flatten(list({parts('name')}))) as p from (select key, unnest(list_concat(names, aliases)) as name from clusters) group by key),
+facets as (select key, {look(SYMBOLS)} as symbols, {look(QIDS)} as qids from named)
+select key, array_to_string(symbols, '|') as symbols, array_to_string(qids, '|') as qids from facets where"""
 TOKENS = f"""raw as (
   select doc_id, unnest({toks('text')}) as original, unnest(regexp_split_to_array(text, '{R}')[1:len({toks('text')})]) as sep, unnest(range(len({toks('text')}))) as i from docs),
 ended as (select doc_id, i, original, sum(length(sep) + length(original)) over (partition by doc_id order by i) as e, trim({fold('original')}, '''-') as form from raw),
@@ -77,8 +89,8 @@ phrases as (select {forms('name')} as f, schemata, key, name from surface),
 patterns as (
   select pattern, len(string_split(pattern, ' ')) as n_tokens, array_to_string(string_split(pattern, ' ')[1:2], ' ') as first_bigram, {common('all_s')} as schema
   from (select array_to_string(f, ' ') as pattern, flatten(list(schemata)) as all_s from phrases where len(f) >= 2 and length(array_to_string(f, ' ')) >= 8 group by 1))"""
-CANDIDATES = """candidates as (
-  select a.doc_id, a.pos, p.pattern, p.n_tokens as n, p.schema from tokens a join tokens b on a.doc_id = b.doc_id and b.pos = a.pos + 1 join patterns p on p.first_bigram = a.form || ' ' || b.form)"""
+CANDIDATES = """bigrams as (select doc_id, pos, form || ' ' || lead(form) over (partition by doc_id order by pos) as bigram from tokens),
+candidates as (select b.doc_id, b.pos, p.pattern, p.n_tokens as n, p.schema from bigrams b join patterns p on p.first_bigram = b.bigram)"""
 CHOSEN = """verified as (
   select c.doc_id, c.pos, c.n, c.pattern, c.schema from candidates c join tokens t on t.doc_id = c.doc_id and t.pos between c.pos and c.pos + c.n - 1
   group by all having string_agg(t.form, ' ' order by t.pos) = c.pattern),
@@ -182,6 +194,13 @@ SQL: dict[str, str] = {
     "extract_minus_percolate": f"{_BOTH} select text from e except select text from p",
     "percolate_minus_extract": f"{_BOTH} select text from p except select text from e",
     "mention_stats": f"{extraction()} select count(*) as n_mentions, count(distinct lower(text)) as n_texts, count(distinct doc_id) as n_docs from mentions",
+    "facet_filter_symbols": f"{FACETS} list_has_any(symbols, ['ORG_CLASS:ltd', 'SYMBOL:bank'])",
+    "facet_filter_qid": f"{FACETS} list_contains(qids, '{QIDS['jane']}')",
+    "scan_ndjson": f"with {PART_ENTITIES} select id, schema, name from ents where {ALLOWED}",
+    "scan_name_lines": "select 'name-' || md5(trim(p_name)) as id, 'Company' as schema, trim(p_name) as name from part where trim(p_name) <> ''",
+    "caption_pick": f"""with {BENCH}, distances as (
+  select key, a, sum(levenshtein(a, b)) as d from (select key, unnest(names) as a, names from clusters), unnest(names) as u(b) group by key, a)
+select key, arg_min(a, (d, a)) as caption from distances group by key""",
     "lookup_exact": first_hit("score > 0", 0.97).replace(LOOKUP, LOOKUP.replace("substr(p_name, 1, (p_partkey % length(p_name))::int) || substr(p_name, (p_partkey % length(p_name))::int + 2)", "upper(p_name)")),
     "lookup_fuzzy_key": f"{LOOKUP} select clean_q, key, score from near where score > 0",
     "lookup_topk": f"{LOOKUP} select query, key, score, rank from (select *, row_number() over (partition by query order by score desc, key) as rank from scored where score > 0) where rank <= 10",

@@ -18,10 +18,10 @@ from ..schema import ENTITY, PATTERNS
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where it is so small that its files' row groups would leave most of them idle (under 16 MB a core, so this shuffle is bounded)."""
+    """df over all cores where it is so small that its files' row groups would leave most of them idle: from 1 MB to 16 MB a core, so this shuffle is bounded."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * (16 << 20)
-    return df.repartition(cores) if small and cores > 1 else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if cores > 1 and 1 << 20 <= size < cores * (16 << 20) else df
 
 
 def lines(spark: SparkSession, uri: str) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -11,6 +14,24 @@ def append_facts(facts: DataFrame, path: str) -> None:
     facts.write.mode("append").parquet(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder of spark.checkpoint.dir, deleted when the driver's JVM ends; where that is unset, in a temporary folder, if all runs on this machine."""
+    there, master = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir(), spark.sparkContext.master
+    if not there:
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        there = f"file://{tempfile.mkdtemp(prefix='moniker-')}"
+    path = f"{there}/scratch-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def entities_json(entities: DataFrame, path: str) -> None:
+    """Entities, a JSON object a line."""
+    entities.write.mode("overwrite").json(path)
+
+
 def clusters_json(clusters: DataFrame, path: str) -> None:
     """A dump of clusters, a JSON object a line (K2)."""
     clusters.write.mode("overwrite").json(path)
