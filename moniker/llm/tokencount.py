@@ -13,7 +13,9 @@ digits, other signs, white space), and each chunk's bytes are merged in order of
   So a state needs, for each suffix of s[:i] that begins a token, the last token before that suffix and the difference of
   the numbers of tokens; equal such records are one state. A transition is annotated with the change of the number of
   tokens. States are determinised when first entered, as in lazy automata of regular expression engines; a table that
-  is full is dropped and begun anew. All chunks of a batch are run at once, a byte of each a step.
+  is full is dropped and begun anew. All distinct chunks of a batch are run at once, a byte of each a step. A long chunk is cut into blocks that are run
+  side by side from the state that some bytes before them lead to; blocks' states and counts are composed from left to right, and a block that was begun in
+  another state than the one before it ends in is run again from that.
 
 Counts are exact: they equal those of the tokenizer itself.
 
@@ -39,6 +41,8 @@ from . import common as C
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BLOCK = 64
 MOST_STATES = 120_000
+#: Chunks longer than LONG bytes are read in blocks of that length, each from LEAD bytes before it on; counts of MOST_SEEN distinct chunks are kept by a worker.
+LONG, LEAD, MOST_SEEN = 2048, 128, 1 << 20
 FEW = 4
 
 # classes of characters
@@ -195,6 +199,7 @@ class Merger:
             walk += [(w, False) for w in child[v].values()]
         self.order = order
         self.masks: dict[tuple[int, bytes | None], int] = {}
+        self.seen, self.seen_count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.chains: dict[int, tuple[int, ...]] = {}
         self.clear()
 
@@ -283,30 +288,86 @@ class Merger:
         self.table[state, byte] = packed = to << 8 | (change + 128)
         return packed
 
+    def walk(self, data: bytes, state: int) -> tuple[int, int]:
+        """The state after the bytes, and the tokens they add, a byte at a time."""
+        total, table = 0, self.table
+        for byte in data:
+            packed = int(table[state, byte])
+            if not packed:
+                packed = self.advance(state, byte)
+                table = self.table
+            state = packed >> 8
+            total += (packed & 255) - 128
+        return state, total
+
+    def step(self, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = state << 8 | byte
+        packed = self.table.reshape(-1)[at]
+        lacks = np.flatnonzero(packed == 0)
+        if len(lacks):
+            keys, where = np.unique(at[lacks], return_inverse=True)
+            packed[lacks] = np.array([self.advance(int(x) >> 8, int(x) & 255) for x in keys], np.int32)[where]
+        return packed >> 8, (packed & 255) - 128
+
+    def long_count(self, data: np.ndarray) -> int:
+        """The tokens of one long chunk. Its blocks are read side by side, each from LEAD bytes before it on; then their (state, count) results are composed from left
+        to right: where a block's assumed first state isn't the one that the block before ends with, it is read again from that."""
+        blocks = -(-len(data) // LONG)
+        begin = np.arange(blocks) * LONG
+        state, total, entry = np.ones(blocks, np.int64), np.zeros(blocks, np.int64), np.ones(blocks, np.int64)
+        for k in range(-LEAD, LONG):
+            if k == 0:
+                entry = state.copy()
+            at = begin + k
+            some = np.flatnonzero((at >= 0) & (at < len(data)))
+            state[some], more = self.step(state[some], data[at[some]])
+            if k >= 0:
+                total[some] += more
+        last, n = 1, 0
+        for i in range(blocks):
+            if entry[i] == last:
+                last, n = int(state[i]), n + int(total[i])
+            else:
+                last, more = self.walk(data[begin[i] : begin[i] + LONG].tobytes(), last)
+                n += more
+        return n
+
     def counts(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Numbers of tokens of the chunks data[start : start + length]."""
         if len(self.records) > MOST_STATES:
             self.clear()
-        order = np.argsort(-length, kind="stable")
+        out = np.zeros(len(start), np.int64)
+        for i in np.flatnonzero(length > LONG):
+            out[i] = self.long_count(data[start[i] : start[i] + length[i]])
+        order = np.flatnonzero(length <= LONG)
+        order = order[np.argsort(-length[order], kind="stable")]
         begin, state = start[order], np.ones(len(order), np.int64)
         total = np.zeros(len(order), np.int64)
-        ends = np.sort(length)
+        ends = np.sort(length[order])
         longest = int(ends[-1]) if len(ends) else 0
         live = len(ends) - np.searchsorted(ends, np.arange(longest), side="right")
         for k in range(longest):
             n = int(live[k])
-            at = state[:n] << 8 | data[begin[:n] + k]
-            packed = self.table.reshape(-1)[at]
-            lacks = np.flatnonzero(packed == 0)
-            if len(lacks):
-                keys, where = np.unique(at[lacks], return_inverse=True)
-                packed[lacks] = np.array([self.advance(int(x) >> 8, int(x) & 255) for x in keys], np.int32)[where]
-            state[:n] = packed >> 8
-            total[:n] += (packed & 255) - 128
-        out = np.empty_like(total)
+            state[:n], more = self.step(state[:n], data[begin[:n] + k])
+            total[:n] += more
         out[order] = total
         return out
 
+    def distinct_counts(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The same; equal chunks (by 64 bits and length) are counted once, frequent ones once a worker."""
+        h = C.span_hashes(data, start, start + length)
+        values, first, at = np.unique(h, return_index=True, return_inverse=True)
+        known = np.minimum(np.searchsorted(self.seen, values), max(0, len(self.seen) - 1))
+        fresh = self.seen[known] != values if len(self.seen) else np.ones(len(values), bool)
+        n = np.empty(len(values), np.int64)
+        n[~fresh] = self.seen_count[known[~fresh]]
+        new = np.flatnonzero(fresh)
+        n[new] = self.counts(data, start[first[new]], length[first[new]])
+        if len(new) and len(self.seen) < MOST_SEEN:
+            place = np.searchsorted(self.seen, values[new])
+            self.seen, self.seen_count = np.insert(self.seen, place, values[new]), np.insert(self.seen_count, place, n[new])
+        return n[at]
+
 
 @functools.cache
 def merger(path: str) -> Merger:
@@ -329,7 +390,7 @@ def count_batch(texts: list[str], m: Merger) -> np.ndarray:
     first = np.flatnonzero(starts)
     edges = np.flatnonzero(starts | ~inside)
     after = edges[np.searchsorted(edges, first, side="right")]
-    tokens = m.counts(data, byte_at[first], byte_at[after] - byte_at[first])
+    tokens = m.distinct_counts(data, byte_at[first], byte_at[after] - byte_at[first])
     total = np.r_[0, np.cumsum(tokens)]
     upto = np.searchsorted(first, ends)
     return total[upto] - total[np.r_[0, upto[:-1]]]
