@@ -7,7 +7,8 @@ target was read, whether a negation is near, whether speech is reported. They ar
 ends of clauses carry the factor of the whole clause:
 
 * an insult counts its weight, within NEAR words after a negation only NEGATED of it, in reported speech REPORTED of it;
-* a clause with a target counts AIMED times; a threat counts only if a target follows it in the clause; an insult that is an ordinary word as
+* a clause with a target counts AIMED times; a threat counts only if a target follows it in the clause, and one that isn't always meant as such (MILD) only after
+  words of intent in the clause, too; an insult that is an ordinary word as
   well (AMBIGUOUS, unless fitted as a lexeme) counts only in a clause with a target, other insults also without one;
 * reported speech reaches to the end of the sentence, or, in quotation marks after a verb of saying, to the closing mark. A mark with no other
   after it in its paragraph (blank lines part them) opens nothing;
@@ -15,7 +16,7 @@ ends of clauses carry the factor of the whole clause:
 
 The lexicon has a small dictionary, and lexemes fitted on labelled documents, at most SAMPLE toxic and CLEAN others (those of least hash
 of id): words, and beginnings of words of 3 to 7 letters, that at least SUPPORT toxic documents have, none a near copy of another,
-with odds of exp(ODDS) against the others, and so many that CHANCE such lexemes at most would be found by chance. A beginning gives way to a longer
+with odds of exp(ODDS) against the others, and so many that CHANCE such lexemes at most would be found by chance. Their weights grow with the log odds, from 1 to MOST. A beginning gives way to a longer
 lexeme that EXPLAINED of its documents have. All texts are then read whole.
 
 Defined results: null and empty texts have no clauses and aren't flagged. Rows are judged each by itself, repeated ones too; null ids are kept. Null
@@ -39,14 +40,16 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SAMPLE, CLEAN, SUPPORT, ODDS, CHANCE, EXPLAINED, LEAST = 3000, 20_000, 4, 3.5, 0.05, 0.7, 0.9
-NEAR, NEGATED, REPORTED, AIMED, CERTAIN = 2, 0.2, 0.3, 1.5, 1.0
-WORD, INSULT, THREAT, TARGET, NEGATION, SAYING, QUOTE, COMMA, STOP, AMBIGUOUS, LAST = range(11)
-WEIGHTED = (INSULT, THREAT, AMBIGUOUS)
+NEAR, NEGATED, REPORTED, AIMED, CERTAIN, MOST = 2, 0.2, 0.3, 1.5, 1.0, 1.5
+WORD, INSULT, THREAT, TARGET, NEGATION, SAYING, QUOTE, COMMA, STOP, AMBIGUOUS, LAST, INTENT, MILD = SYMBOLS = range(13)
+WEIGHTED = (INSULT, THREAT, AMBIGUOUS, MILD)
 
 DICTIONARY = {
     INSULT: "idiot idiots moron morons imbecile dumbass bastard arschloch vollidiot crétin connard imbécile idiota estúpido",
     AMBIGUOUS: "stupid worthless pathetic scum loser losers trash disgusting clown clowns",
     THREAT: "kill murder destroy strangle töten umbringen tuer matar",
+    INTENT: "will i'll we'll he'll she'll they'll gonna going shall werde werden wird vais va vont allons voy vamos va",
+    MILD: "shoot stab hurt beat hang burn hunt bury crush choke punch smash slaughter erschießen erschlagen verprügeln schlagen erwürgen vernichten verbrennen frapper abattre étrangler brûler détruire égorger golpear disparar quemar destruir ahorcar apuñalar",
     TARGET: "you your yourself u he she they him her them this these those dich dir du ihr ihn sie tu toi vous ils elle él ella usted ustedes",
     NEGATION: "not never no isn't aren't wasn't don't won't nicht kein keine niemals jamais nunca",
     SAYING: "said says say claimed claims wrote writes called quoted sagte sagt dit disait dijo dice",
@@ -68,10 +71,14 @@ def _insult(s: int, x: int) -> tuple[int, float]:
 
 
 def _threat(s: int, x: int) -> tuple[int, float]:
-    """State 1: a threat waits for its target; 2: it has one. Without one the threat counts nothing, at the end of the clause."""
+    """State 1: intent was spoken of; 2: a threat waits for its target; 3: it has one. Without one the threat counts nothing, at the end of the clause."""
     if x in (COMMA, STOP):
         return 0, 1.0
-    return (max(s, 1), 1.0) if x == THREAT else ((2, 1.0) if s and x == TARGET else (s, 1.0))
+    if x == MILD:
+        return (max(s, 2), 1.0) if s else (0, 0.0)
+    if x == THREAT:
+        return max(s, 2), 1.0
+    return (3 if s == 2 and x == TARGET else 1 if s == 0 and x == INTENT else s), 1.0
 
 
 def _target(s: int, x: int) -> tuple[int, float]:
@@ -111,7 +118,7 @@ def compose(parts: list[Transducer]) -> tuple[list[list[int]], list[list[float]]
     while len(nxt) < len(todo):
         state = todo[len(nxt)]
         row, row_f = [], []
-        for x in range(11):
+        for x in SYMBOLS:
             to, f = zip(*[p.step(s, x) for p, s in zip(parts, state, strict=True)], strict=True)
             if to not in number:
                 number[to] = len(todo)
@@ -120,7 +127,7 @@ def compose(parts: list[Transducer]) -> tuple[list[list[int]], list[list[float]]
             row_f.append(float(np.prod(f)))
         nxt.append(row)
         factor.append(row_f)
-    return nxt, factor, [s[1] == 2 for s in todo], [s[2] == 1 for s in todo]
+    return nxt, factor, [s[1] == 3 for s in todo], [s[2] == 1 for s in todo]
 
 
 NEXT, FACTOR, AIMED_THREAT, AIMED_CLAUSE = compose(PARTS)
@@ -174,7 +181,7 @@ class Reader:
             f = FACTOR[state][x]
             if x == INSULT:
                 insult += weight * f
-            elif x == THREAT:
+            elif x in (THREAT, MILD):
                 threat += weight * f
             elif x == AMBIGUOUS:
                 ambiguous += weight * f
@@ -221,12 +228,12 @@ def lexemes(found: Mapping[tuple[str, str], int], n_toxic: int, clean: Mapping[t
         return out
     rate = n_toxic / (n_toxic + n_clean)
     most = math.log(CHANCE / len(found))
-    good = []
+    good, odds = [], {}
     for mark, n in found.items():
         m = clean.get(mark, 0)
-        odds = math.log((n + 0.5) / n_toxic) - math.log((m + 0.5) / n_clean)
+        odds[mark] = math.log((n + 0.5) / n_toxic) - math.log((m + 0.5) / n_clean)
         chance = math.lgamma(n + m + 1) - math.lgamma(n + 1) - math.lgamma(m + 1) + n * math.log(rate) + m * math.log(1 - rate)
-        if odds >= ODDS and chance <= most:
+        if odds[mark] >= ODDS and chance <= most:
             good.append((n, len(mark[1]) + (mark[0] == "word") / 2, mark))
     # a beginning that one longer lexeme explains for the most part gives way to it
     longer: Counter = Counter()
@@ -236,7 +243,7 @@ def lexemes(found: Mapping[tuple[str, str], int], n_toxic: int, clean: Mapping[t
     for n, _, (kind, w) in sorted(good, key=lambda x: (x[1], x[2])):
         if kind == "beginning" and longer[w] >= EXPLAINED * n or any(w[:k] in out["beginning"] for k in range(3, len(w))):
             continue
-        out[kind][w] = CERTAIN
+        out[kind][w] = round(CERTAIN * min(odds[kind, w] / ODDS, MOST), 3)
     return out
 
 
@@ -245,7 +252,7 @@ def _count(found: list[tuple[str, str]]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
-        for b in batches:
+        for b in C.pieces(batches, "text"):
             for text in b.column("text").to_pylist():
                 total.update(number[m] for m in marks_of(text or "") if m in number)
         yield pa.RecordBatch.from_arrays([pa.array(list(total.keys()), pa.int64()), pa.array(list(total.values()), pa.int64())], ["mark", "n"])
@@ -272,7 +279,7 @@ def fitted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
 def _judge(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(lexicon)
-        for b in batches:
+        for b in C.pieces(batches, "text"):
             got = [(0.0, 0) if t is None else reader.score(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([round(s, 6) for s, _ in got], pa.float64()), pa.array([n for _, n in got], pa.int64())], ["id", "score", "n_clauses"])
 
