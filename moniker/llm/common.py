@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.readers import spread
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -27,7 +29,7 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(ready(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 _LOCAL: dict[str, str] = {}

@@ -116,6 +116,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", **settings: object) -> DataF
     """The input with each row as many times as copies() says."""
     key, n, copy = C.free(docs, "mixed_id"), C.free(docs, "mixed_copies"), C.free(docs, "mixed_copy")
     c = copies(docs, id_col=id_col, **settings).select(F.col(id_col).alias(key), F.col("copies").cast("int").alias(n)).where(F.col(n) > 0)
-    rows = docs.join(c, docs[f"`{id_col}`"].eqNullSafe(c[key]))
+    # a decision a document grows with the corpus, so it isn't broadcast
+    rows = docs.join(c.hint("merge"), docs[f"`{id_col}`"].eqNullSafe(c[key]))
     columns = [f"`{x}`" for x in docs.columns]
     return rows.select(*columns, F.explode(F.array_repeat(F.lit(0), F.col(n))).alias(copy)).select(columns)

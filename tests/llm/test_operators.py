@@ -421,11 +421,11 @@ def naive_score(text: str, reader: toxicity.Reader) -> float:
     states, total, insult, threat = [p.start for p in toxicity.PARTS], 0.0, 0.0, 0.0
     for token in [*toxicity._TOKEN.findall(text.lower()), "\n"]:
         x, w = reader.symbol(token)
-        aimed = states[1] == 2
+        aimed = states[1] == 3
         steps = [p.step(s, x) for p, s in zip(toxicity.PARTS, states, strict=True)]
         f = float(np.prod([s[1] for s in steps]))
         states = [s[0] for s in steps]
-        insult, threat = insult + w * f * (x == toxicity.INSULT), threat + w * f * (x == toxicity.THREAT)
+        insult, threat = insult + w * f * (x == toxicity.INSULT), threat + w * f * (x in (toxicity.THREAT, toxicity.MILD))
         if x in (toxicity.COMMA, toxicity.STOP):
             total += (insult + threat * aimed) * f
             insult = threat = 0.0
@@ -435,12 +435,16 @@ def naive_score(text: str, reader: toxicity.Reader) -> float:
 def test_grammar():
     r = toxicity.Reader({"word": {"zork": 1.0}, "beginning": {"blarg": 1.0}})
     flagged = lambda t: r.score(t)[0] >= toxicity.LEAST
+    for t in ("I will hunt you down and hurt you.", "I'll shoot you", "Wir werden verprügeln dich", "je vais frapper toi"):
+        assert flagged(t), t
+    for t in ("They beat them.", "shoot you later", "I will burn the leaves", "we will never hurt you", 'He said "I will hurt you".'):
+        assert not flagged(t), t
     assert flagged("You are an idiot.") and flagged("what a moron") and flagged("I will kill you") and flagged("such a zork") and flagged("blargish thing")
     for t in ("You are not an idiot.", 'He said you are an idiot.', "I will kill time.", "never mind", "", "the blar", "zorks", "kill. You"):
         assert not flagged(t), t
     assert r.score("you idiot, you scum")[1] == 2 and r.score("you idiot")[0] > r.score("an idiot")[0]
     rnd = random.Random(8)
-    vocabulary = ["idiot", "kill", "you", "not", "said", '"', ",", ".", "word", "zork", "\n"]
+    vocabulary = ["idiot", "kill", "hurt", "will", "you", "not", "said", '"', ",", ".", "word", "zork", "\n"]
     for _ in range(500):
         t = " ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(0, 25)))
         assert abs(r.score(t)[0] - naive_score(t, r)) < 1e-9, t
@@ -805,7 +809,10 @@ def test_token_counts_are_exact(spark, odd, none):
     r = random.Random(4)
     hard = ["", "it's 'S we're they'v x'll 'l", "  'll", "''s", " \n\t y\r\n", "a   ", "naïve — “q” 日本語 \U0001f600", "x" * 5000, "'rx '  '", "<|endoftext|>"]
     hard += ["".join(r.choice("'srtevmld 1!\n\t é") for _ in range(r.randint(0, 90))) for _ in range(3000)]
-    assert tokencount.count_batch(hard, m).tolist() == [len(enc.encode_ordinary(t)) for t in hard]
+    hard += [x * 3000 for x in ("a", "ab", "the", "é", "zq")] + ["".join(r.choice("abcdefghij") for _ in range(9000)), "".join(r.choice("ab") for _ in range(tokencount.LONG + 1))]
+    again = tokencount.count_batch(hard, m).tolist()
+    assert tokencount.count_batch(hard, m).tolist() == again
+    assert again == [len(enc.encode_ordinary(t)) for t in hard]
     for docs in (odd, C.table(spark, f"{DATA}/sf0.001", "documents")):
         want = Counter((x["doc_id"], None if x["text"] is None else len(enc.encode_ordinary(x["text"]))) for x in docs.collect())
         assert Counter(pairs_of(tokencount.token_counts(docs))) == want
