@@ -89,8 +89,12 @@ def features(cluster_rows: DataFrame) -> DataFrame:
     return cluster_rows.withColumn("tokens", F.filter(toks, lambda x: F.length(x) >= MIN_TOKEN_CHARS))
 
 
-# a small lexicon of our own; what else a full knowledge base would know is out of scope
-SYMBOLS = {"ltd": "ORG_CLASS:ltd", "inc": "ORG_CLASS:inc", "corp": "ORG_CLASS:corp", "co": "ORG_CLASS:co", "gmbh": "ORG_CLASS:gmbh", "ag": "ORG_CLASS:ag", "sa": "ORG_CLASS:sa", "bank": "SYMBOL:bank", "holding": "SYMBOL:holding", "group": "SYMBOL:group", "international": "SYMBOL:international", "north": "LOCATION:north", "northern": "LOCATION:north", "south": "LOCATION:south", "european": "LOCATION:europe", "europe": "LOCATION:europe", "bob": "NICK:robert", "bill": "NICK:william", "liz": "NICK:elizabeth"}
+# a lexicon of our own from common usage; what else a full knowledge base would know is out of scope
+_FORMS = "ltd inc corp co gmbh ag sa plc llc llp lp kg ev srl spa sarl sas bv nv ab as oy ooo ao zao ptyltd pvtltd spzoo gmbhcokg coop assn eg ltda"
+_WORDS = "bank holding group international trading company fund trust foundation insurance investment capital energy oil gas steel mining shipping airlines media hotel university ministry council parliament court police army party church school hospital institute agency"
+_PLACES = {"north": "north northern nord norte", "south": "south southern sud sur", "east": "east eastern ost este", "west": "west western ouest oeste", "europe": "europe european europa", "africa": "africa african afrika", "america": "america american", "asia": "asia asian", "germany": "germany german deutschland deutsche", "france": "france french francaise", "russia": "russia russian", "china": "china chinese", "japan": "japan japanese", "india": "india indian", "brazil": "brazil brasil"}
+_NICKS = {"robert": "bob rob bobby", "william": "bill will billy", "elizabeth": "liz beth betty", "richard": "dick rick", "james": "jim jimmy", "john": "jack johnny", "michael": "mike", "thomas": "tom", "margaret": "meg peggy", "katherine": "kate kathy", "alexander": "alex sasha", "joseph": "joe", "edward": "ed ted", "anthony": "tony", "daniel": "dan", "benjamin": "ben", "samuel": "sam", "johannes": "hans", "josef": "sepp", "francisco": "paco"}
+SYMBOLS = {x: f"ORG_CLASS:{x}" for x in _FORMS.split()} | {x: f"SYMBOL:{x}" for x in _WORDS.split() if x != "company"} | {w: f"LOCATION:{k}" for k, ws in _PLACES.items() for w in ws.split()} | {w: f"NICK:{k}" for k, ws in _NICKS.items() for w in ws.split()}
 QIDS = {"jane": "Q4160311", "john": "Q4925477", "maria": "Q325872", "robert": "Q4927937", "william": "Q12344159", "anna": "Q666578"}
 
 

@@ -42,11 +42,28 @@ def mentions_json(mentions: DataFrame, path: str) -> None:
     mentions.write.mode("overwrite").json(path)
 
 
+def _files(spark: SparkSession, path: str):  # noqa: ANN202
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _files(spark, path)
+    return files.exists(at)
+
+
 def table(df: DataFrame, path: str, *sort: str) -> None:
-    """An index table (K4, K5), sorted by ranges of `sort` so that point lookups skip most row groups."""
+    """An index table (K4, K5), sorted by ranges of `sort` so that point lookups skip most row groups. It is written beside and then takes the old one's place, so a job that
+    fails leaves the old one."""
     if sort:
         df = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
-    df.write.mode("overwrite").parquet(path)
+    beside = f"{path}.{uuid.uuid4().hex}"
+    df.write.parquet(beside)
+    files, new = _files(df.sparkSession, beside)
+    _, old = _files(df.sparkSession, path)
+    files.delete(old, True)
+    if not files.rename(new, old):
+        raise OSError(f"{beside} can't be renamed to {path}")
 
 
 def patterns_tsv(patterns: DataFrame, path: str) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import json
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -97,6 +98,12 @@ def test_keys(spark):
     assert one(spark, keys.name_key(F.col("n")), n="The Acme Limited") == "acme ltd"
 
 
+def test_legal_forms_and_prefixes(spark):
+    cases = {"Acme Public Limited Company": "acme plc", "Fiat S.p.A.": "fiat spa", "Muster GmbH & Co. KG": "gmbhcokg muster", "Muster G.m.b.H.": "gmbh muster", "Gesellschaft mit beschränkter Haftung Muster": "gmbh muster", "Общество с ограниченной ответственностью Ромашка": "ooo romashka", "Signora Maria Rossi": "maria rossi", "Prof. Dr. J. R. Smith": "j r smith", "Spam Ltd": "ltd spam", "Kraft Sp. z o.o.": "kraft spzoo", None: "", " - ": ""}
+    rows = spark.createDataFrame([(n,) for n in cases], "n string").select("n", keys.name_key(F.col("n")).alias("k")).collect()
+    assert {r["n"]: r["k"] for r in rows} == cases
+
+
 def test_common_schema(spark):
     cases = [(["Person"], "Person"), (["Person", "Organization"], "LegalEntity"), (["Company", "Organization"], "Company"), (["Company", "Person"], "LegalEntity"), ([], "LegalEntity"), (["Company", "LegalEntity", "Organization"], "Company"), (["Address"], "Address")]
     for given, want in cases:
@@ -277,3 +284,41 @@ def test_stream(store, spark, tmp_path):
     q = extract_stream(docs, extract.patterns(store.clusters()), str(tmp_path / "out"), str(tmp_path / "ck"), availableNow=True)
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_store_lifecycle(spark, tmp_path):
+    with Store(spark, str(tmp_path / "s")) as s:
+        assert s.facts().count() == 0
+        s.put([{"id": "a", "schema": "Person", "properties": {"name": ["Jane Doe"]}}])
+        s.build()
+        first = s.warm().lookup("jane doe")
+        assert first["key"] == "doe jane" and s.lookup("jane doe") is first and s.lookup("nobody at all") is None
+        assert s.load_patterns(str(tmp_path / "none")) is False and [m["text"] for m in s.extract("A Jane Doe.")] == ["Jane Doe"]
+        s.save_patterns(str(tmp_path / "patterns"))
+        s.put([{"id": "b", "schema": "Person", "properties": {"name": ["John Smith"]}}])
+        s.build()
+        assert s.load_patterns(str(tmp_path / "patterns")) and s.extract("John Smith and Jane Doe")[0]["text"] == "Jane Doe" and s.lookup("john smith")["key"] == "john smith"
+    assert [m["text"] for m in s.extract("John Smith and Jane Doe")] == ["John Smith", "Jane Doe"]
+    (tmp_path / "s" / "facts" / "part-broken.parquet").write_text("not a table")
+    with pytest.raises(Exception):  # noqa: B017
+        s.build()
+    assert s.clusters and Store(spark, s.uri).lookup("jane doe")["key"] == "doe jane"
+
+
+def test_whole_input_keeps_offsets(spark, monkeypatch):
+    import io
+
+    text_in = "a\r\nJane\x0cDoe\n"
+    monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(text_in.encode()), newline=""))
+    assert readers.document(spark, "-").first()["text"] == text_in
+
+
+def test_report(spark):
+    a = spark.createDataFrame([(1, f"Name {i}", 0, 5, "Person") for i in range(5)], "doc_id long, text string, start int, end int, schema string")
+    got = compare.report(a, a.where("text < 'Name 3'"), most=2)
+    assert "extract: 5 mentions, 5 texts" in got and "both: 3" in got and "  ... 1 more" in got and "extract only: 2" in got and "percolate only: 0" in got
+
+
+def test_spread(spark):
+    small, some = spark.range(10), spark.createDataFrame([(i, "x" * 1000) for i in range(3000)], "i long, t string")
+    assert readers.spread(small).count() == 10 and Counter(x["i"] for x in readers.spread(some).collect()) == Counter(range(3000))
