@@ -1,6 +1,6 @@
 """Fuzzy lookup of strings among known names.
 
-Candidates within two edits are found by an equi-join of deletion neighbourhoods (all strings with up to two characters left out), which is
+Candidates within two edits are found by an equi-join of deletion neighbourhoods (all beginnings with up to two characters left out), which is
 complete for edits with swaps of neighbours; only those pairs are verified. Similarities are computed once for each distinct pair.
 """
 
@@ -22,8 +22,16 @@ BOOSTS = {"key": 3.0, "name": 2.0, "alias": 1.0}
 PHONETIC_BOOST = 0.5
 
 
+PREFIX = 20
+
+
 def deletions(s: Column) -> Column:
-    """Hashes of all strings that s becomes when up to two characters are left out."""
+    """Hashes of all strings that the first PREFIX characters of s become when up to two of them are left out: 211 at most.
+
+    Strings within two edits share one. Edits before the cut are undone by leaving out at most one character each on either side; where they shift the
+    cut, what one side has more before it is left out at its end, which takes no more than the two.
+    """
+    s = F.substring(s, 1, PREFIX)
     without = lambda x, i: F.when(i == 0, x).otherwise(F.concat(x.substr(F.lit(1), i - 1), x.substr(i + 1, F.length(x))))
     one = F.transform(F.sequence(F.lit(0), F.length(s)), lambda i: F.struct(i.alias("i"), without(s, i).alias("s")))
     two = F.transform(one, lambda x: F.transform(F.filter(F.sequence(F.lit(0), F.length(x["s"])), lambda j: (j == 0) | (j >= x["i"])), lambda j: F.xxhash64(without(x["s"], j))))

@@ -322,3 +322,27 @@ def test_report(spark):
 def test_spread(spark):
     small, some = spark.range(10), spark.createDataFrame([(i, "x" * 1000) for i in range(3000)], "i long, t string")
     assert readers.spread(small).count() == 10 and Counter(x["i"] for x in readers.spread(some).collect()) == Counter(range(3000))
+
+
+def test_long_strings_within_two_edits(spark):
+    """Whatever two edits, swaps included, do to strings around the length of the prefix, they meet."""
+    r = random.Random(17)
+    rows = []
+    for _ in range(1500):
+        s = "".join(r.choice("abc ") for _ in range(r.choice([3, 6, 18, 19, 20, 21, 22, 23, 40])))
+        t = list(s)
+        for _ in range(r.randint(0, 2)):
+            at, kind = r.randrange(len(t) + 1) if r.random() < 0.5 else min(len(t), r.choice([17, 18, 19, 20, 21])), r.randrange(4)
+            if kind == 0:
+                t.insert(at, r.choice("abc "))
+            elif at < len(t) and kind == 1 and len(t) > 2:
+                del t[at]
+            elif at < len(t) and kind == 2:
+                t[at] = r.choice("abc ")
+            elif at + 1 < len(t):
+                t[at], t[at + 1] = t[at + 1], t[at]
+        if similarity.osa(s, "".join(t)) <= 2:
+            rows.append((s, "".join(t)))
+    df = spark.createDataFrame(rows, "s string, t string")
+    assert len(rows) > 1300 and df.where(~F.arrays_overlap(lookup.deletions(F.col("s")), lookup.deletions(F.col("t")))).count() == 0
+    assert df.select(F.max(F.size(lookup.deletions(F.col("s"))))).first()[0] <= 211
