@@ -33,9 +33,10 @@ def log_of_turns(conversations: DataFrame) -> DataFrame:
 
     Each line of a turn is a delta, the first one after an edit that begins the message anew. By hash of conversation and turn a third of the messages begin with
     a draft that this edit replaces, and a third are regenerated after a wrong next turn had been made, which goes by that. Sequence
-    numbers are (turn, role, hash of the text, number in the turn): of several rows of one turn the last in this order stays.
+    numbers are (turn, role, hash of the text, number in the turn): of several rows of one turn the last in this order stays. The turns are partitioned by
+    conversation before events are made of them, which is less to move, so the log is partitioned already.
     """
-    c = C.pick(conversations, conv_id="conv_id", turn="turn", role="role", text="text").where("conv_id is not null and turn is not null")
+    c = C.pick(conversations, conv_id="conv_id", turn="turn", role="role", text="text").where("conv_id is not null and turn is not null").repartition("conv_id")
     c = c.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     event = lambda turn, kind, text: F.struct(turn.alias("turn"), F.lit(kind).alias("kind"), text.alias("text"))
     lines, turn, way = F.split("text", "\n", -1), F.col("turn"), F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3))
@@ -43,15 +44,15 @@ def log_of_turns(conversations: DataFrame) -> DataFrame:
     begin = begin.when(way == 1, F.array(event(turn, "edit", F.lit(""))))
     begin = begin.otherwise(F.array(event(turn, "delta", F.lit("wrong")), event(turn + 1, "message", F.lit("wrong, too")), event(turn, "regenerate", F.lit(""))))
     deltas = F.transform(lines, lambda x, i: event(turn, "delta", F.when(i > 0, F.concat(F.lit("\n"), x)).otherwise(x)))
-    e = c.select("conv_id", turn.alias("made"), "role", F.md5("text").alias("of"), F.posexplode(F.concat(begin, deltas)).alias("i", "e"))
+    e = c.select("conv_id", turn.alias("made"), "role", F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long").alias("of"), F.posexplode(F.concat(begin, deltas)).alias("i", "e"))
     return e.select("conv_id", F.struct("made", "role", "of", "i").alias("seq"), "e.turn", "role", "e.kind", "e.text")
 
 
-def messages(events: DataFrame) -> DataFrame:
+def messages(events: DataFrame, *, partitioned: bool = False) -> DataFrame:
     """conv_id, turn, role, content of the final messages of a log conv_id, seq, turn, role, kind, text. seq may be of any type that can be ordered."""
     e = C.pick(events, conv_id="conv_id", seq="seq", turn="turn", role="role", kind="kind", text="text").where("conv_id is not null and turn is not null")
-    # one shuffle serves all that follows: the distinct rows, both windows and the messages
-    e = e.repartition("conv_id").distinct()
+    # one shuffle serves all that follows: the distinct rows, both windows and the messages; a log that is partitioned by conversation needs none
+    e = (e if partitioned else e.repartition("conv_id")).distinct()
     e = e.select("conv_id", "seq", "turn", "role", F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("text", F.lit("")).alias("text"))
     # equal sequence numbers: rank decides, within a conversation
     order = F.struct("seq", "kind", F.coalesce("role", F.lit("")), "text")
@@ -68,10 +69,10 @@ def messages(events: DataFrame) -> DataFrame:
     return m.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), "content").where(F.regexp_replace("content", r"[ \t\r\n]+", "") != "")
 
 
-def render(events: DataFrame) -> DataFrame:
+def render(events: DataFrame, *, partitioned: bool = False) -> DataFrame:
     """conv_id, n_messages and the rendered text of each conversation."""
     C.ready(events.sparkSession)
-    m = messages(events).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("m"))
+    m = messages(events, partitioned=partitioned).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("m"))
     one = lambda x: F.concat(F.lit(BEGIN), x["role"], F.lit("\n"), x["content"], F.lit(END + "\n"))
     return m.select("conv_id", F.size("m").cast("long").alias("n_messages"), F.array_join(F.transform("m", one), "").alias("rendered"))
 
@@ -79,7 +80,7 @@ def render(events: DataFrame) -> DataFrame:
 SQL = f"""
 with e as (
   select conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text from conversations where conv_id is not null and turn is not null
-  qualify row_number() over (partition by conv_id, turn order by coalesce(role, 'unknown') desc, md5(coalesce(text, '')) desc) = 1)
+  qualify row_number() over (partition by conv_id, turn order by coalesce(role, 'unknown') desc, substr(md5(coalesce(text, '')), 1, 15) desc) = 1)
 select conv_id, count(*) as n_messages,
        string_agg('{BEGIN}' || role || chr(10) || text || '{END}' || chr(10), '' order by turn) as rendered
 from e where regexp_replace(text, '[ \\t\\r\\n]+', '', 'g') <> '' group by conv_id

@@ -47,7 +47,7 @@ def op7_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.render(chat.log_of_turns(C.table(spark, sf_dir, "conversations")))
+    return chat.render(chat.log_of_turns(C.table(spark, sf_dir, "conversations")), partitioned=True)
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,15 +109,10 @@ def spark_hash(seed: int, i: int) -> int:
     return xxhash.xxh64_intdigest(struct.pack("<q", i), xxhash.xxh64_intdigest(struct.pack("<i", seed), 42))
 
 
-def test_mixing_against_brute_force(spark, monkeypatch):
-    """Targets, buckets and the tree by plain loops, with pivotal() as it is."""
-    monkeypatch.setattr(mixing, "PER_BUCKET", 30)
-    monkeypatch.setattr(mixing, "FAN", 3)
-    r = random.Random(8)
-    rows = [(i * 7919, "x" * r.choice([0, 5, 90]), "en", r.choice("aaaabbc"), 1) for i in range(800)]
-    got = {x["doc_id"]: x["copies"] for x in mixing.copies(spark.createDataFrame(rows, SCHEMA)).collect()}
+def brute_copies(rows):
+    """Expected and rounded copies of each id of (id, text, source), targets, buckets and the tree by plain loops, with pivotal() as it is; and the one left over, if any."""
     has, n = Counter(), Counter()
-    for _, text, _, source, _ in rows:
+    for _, text, source in rows:
         has[source] += len(text)
         n[source] += 1
     every = sum(has.values())
@@ -125,10 +120,10 @@ def test_mixing_against_brute_force(spark, monkeypatch):
     rate = {s: round(w[s] / sum(w.values()) * every / has[s], 9) for s in has}
     key = {i: spark_hash(1, i) for i, *_ in rows}
     signed = lambda k: k - (1 << 64) if k >> 63 else k
-    p = {i: rate[s] - int(rate[s]) for i, _, _, s, _ in rows}
+    p = {i: rate[s] - int(rate[s]) for i, _, s in rows}
     level = defaultdict(list)
-    for i, _, _, s, _ in rows:
-        level[s, signed(key[i]) % -(-n[s] // 30)].append(i)
+    for i, _, s in rows:
+        level[s, signed(key[i]) % -(-n[s] // mixing.PER_BUCKET)].append(i)
     while True:
         left = []
         for (s, b), ids in level.items():
@@ -140,10 +135,18 @@ def test_mixing_against_brute_force(spark, monkeypatch):
             break
         by_source, level = any(s for s, *_ in left) and any(b for _, b, _ in left), defaultdict(list)
         for s, b, i in left:
-            level[(s, b // 3) if by_source else ("", signed(key[i]) % -(-len(left) // 30))].append(i)
-    source = {i: s for i, _, _, s, _ in rows}
-    close = [i for i in got if 0 < p[i] < 1]
-    assert len(got) == 800 and len(close) <= 1 and all(got[i] == int(rate[source[i]]) + p[i] for i in got if i not in close)
+            level[(s, b // mixing.FAN) if by_source else ("", signed(key[i]) % -(-len(left) // mixing.PER_BUCKET))].append(i)
+    return {i: int(rate[s]) + p[i] for i, _, s in rows}, [i for *_, i in left]
+
+
+def test_mixing_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PER_BUCKET", 30)
+    monkeypatch.setattr(mixing, "FAN", 3)
+    r = random.Random(8)
+    rows = [(i * 7919, "x" * r.choice([0, 5, 90]), "en", r.choice("aaaabbc"), 1) for i in range(800)]
+    got = {x["doc_id"]: x["copies"] for x in mixing.copies(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want, left = brute_copies([(i, t, s) for i, t, _, s, _ in rows])
+    assert len(got) == 800 and all(got[i] == want[i] for i in want if i not in left)
 
 
 def test_ids_stay_as_they_are(spark):
@@ -482,6 +485,21 @@ def test_toxicity_held_out(spark):
     assert np.mean([x["doc_id"] in hit for x in rest if x["toxic"] == 1]) > 0.85 and np.mean([x["doc_id"] in hit for x in rest if x["toxic"] == 0]) < 0.01
 
 
+def test_toxicity_fit_against_loops(spark):
+    """Counts of lexemes by plain loops over all labelled documents."""
+    docs, labels = C.table(spark, f"{DATA}/sf0.01", "documents"), C.table(spark, f"{DATA}/sf0.01", "labels")
+    bad = {x["doc_id"]: x["toxic"] for x in labels.collect()}
+    texts = {x["doc_id"]: x["text"] for x in docs.collect()}
+    toxic = toxicity.apart([texts[i] for i in sorted(texts) if bad.get(i) == 1])
+    found, clean = toxicity.candidates(toxic), Counter()
+    others = [i for i in texts if bad.get(i) == 0]
+    for i in others:
+        clean.update(m for m in toxicity.marks_of(texts[i]) if m in found)
+    want = toxicity.lexemes(found, len(toxic), clean, len(others))
+    assert toxicity.fitted(docs, labels) == want and want["word"] | want["beginning"]
+    assert all(1 <= w <= toxicity.MOST for kind in want.values() for w in kind.values())
+
+
 def test_toxicity_odd(odd, none, spark):
     got = toxicity.scores(odd.unionByName(odd.limit(1).withColumn("text", F.lit("you idiot"))), NO_LEXEMES)
     assert got.count() == odd.count() + 1 and got.where("score > 0").count() == 1
@@ -606,10 +624,10 @@ def test_chat_sql_and_odd(spark):
     assert {x[0] for x in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
     last = {}
     for c, t, role, text in many:
-        order = (role or "unknown", hashlib.md5(text.encode()).hexdigest())
+        order = (role or "unknown", hashlib.md5(text.encode()).hexdigest()[:15])
         last[c, t] = max(last.get((c, t), ((), "")), (order, text))
     want = {c: "".join(f"<|im_start|>{o[0]}\n{text}<|im_end|>\n" for (x, t), (o, text) in sorted(last.items()) if x == c) for c in range(30)}
-    assert {x["conv_id"]: x["rendered"] for x in chat.render(log).collect()} == want
+    assert {x["conv_id"]: x["rendered"] for x in chat.render(log).collect()} == want == {x["conv_id"]: x["rendered"] for x in chat.render(log, partitioned=True).collect()}
     assert chat.render(chat.log_of_turns(df.limit(0))).count() == 0
     e = spark.createDataFrame([(1, None, 0, "user", None, "a"), (1, None, 0, "user", None, "a"), (1, 1, 0, "user", "delta", None)], "conv_id long, seq long, turn long, role string, kind string, text string")
     assert "\na<|" in chat.render(e).first()["rendered"]
@@ -849,3 +867,45 @@ def test_pipeline_stages(spark):
             want = before.agg(F.sum(F.length("text"))).first()[0]
             assert after.agg(F.sum("filled")).first()[0] == want
         before = after
+
+
+def test_pipeline_against_brute_force(spark):
+    """What the stages after the first decide, by plain loops over each one's input."""
+    import re
+
+    import corpus_pipeline as P
+
+    sf = f"{DATA}/sf0.001"
+    tables = [C.cut(P.STAGES[0][1](spark, C.table(spark, sf, "documents"), sf))]
+    for _, stage in P.STAGES[1:]:
+        tables.append(C.cut(stage(spark, tables[-1], sf)))
+    kept, single, clean, mixed, bins = (t.collect() for t in tables)
+    h, o = jaccard.ngram_sets(pa.array([x["text"] for x in kept]), 3)
+    sets = [frozenset(h[o[i] : o[i + 1]].tolist()) for i in range(len(kept))]
+    label = classes_of(brute_links(sets, 0.5), range(len(kept)))
+    least = {}
+    for i, x in enumerate(kept):
+        least[label[i]] = min(least.get(label[i], x["doc_id"]), x["doc_id"])
+    assert Counter(x["doc_id"] for x in single) == Counter(least.values())
+    owners, of = defaultdict(set), {}
+    for x in single:
+        of[x["doc_id"]] = {*re.findall(f"(?:{secrets.FORMS})", x["text"]), *re.findall(f"(?<![A-Za-z0-9_-]){secrets.WEB}", x["text"]), *re.findall(secrets.NAMED, x["text"])}
+        for v in of[x["doc_id"]]:
+            owners[v].add(x["source"])
+    live = {v for v, o in owners.items() if not re.search(secrets.DUMMY, v) and len(set(v)) >= secrets.LEAST_VARIETY and len(o) < secrets.EXAMPLE_OWNERS}
+    want = {}
+    for x in single:
+        want[x["doc_id"]] = x["text"]
+        for v in sorted(of[x["doc_id"]] & live, key=lambda v: (-len(v), v)):
+            want[x["doc_id"]] = want[x["doc_id"]].replace(v, secrets.REDACTED)
+    assert {x["doc_id"]: x["text"] for x in clean} == want
+    copies, left = brute_copies([(x["doc_id"], x["text"], x["source"]) for x in clean])
+    n = Counter(x["doc_id"] for x in mixed)
+    assert all(n[i] == copies[i] for i in copies if i not in left)
+    by_bucket = defaultdict(list)
+    for b in bins:
+        by_bucket[b["bucket"]].append(b)
+    for got in by_bucket.values():
+        sizes = sorted(k for b in got for k in b["lengths"])
+        assert Counter(tuple(sorted(b["lengths"])) for b in got) == Counter(tuple(sorted(sizes[i] for i in b)) for b in brute_pack(sizes, packing.CAPACITY))
+    assert Counter((i, k) for b in bins for i, k in zip(b["doc_ids"], b["texts"], strict=True)) == Counter((x["doc_id"], x["text"][a : a + packing.CAPACITY]) for x in mixed for a in range(0, len(x["text"]), packing.CAPACITY))
