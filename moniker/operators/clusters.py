@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -76,10 +77,10 @@ def postings(cluster_rows: DataFrame) -> DataFrame:
     return cluster_rows.select("key", F.explode(F.filter(toks, lambda x: F.length(x) >= MIN_TOKEN_CHARS)).alias("token"))
 
 
-def phonetic_postings(cluster_rows: DataFrame) -> DataFrame:
+def phonetic_postings(cluster_rows: DataFrame, code: Callable[[Column], Column] = metaphone_code) -> DataFrame:
     """Distinct (code, key) of names and aliases (A5, F6). Codes are computed once for each distinct part."""
     rows = cluster_rows.select("key", F.explode(F.array_distinct(F.flatten(F.transform(all_names(cluster_rows), parts)))).alias("part"))
-    codes = rows.select("part").distinct().withColumn("code", metaphone_code("part")).where("code <> ''")
+    codes = rows.select("part").distinct().withColumn("code", code(F.col("part"))).where("code <> ''")
     return rows.join(codes, "part").select("code", "key").distinct()
 
 

@@ -6,6 +6,7 @@ complete for edits with swaps of neighbours; only those pairs are verified. Simi
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,10 +57,10 @@ def fuzzy(queries: DataFrame, cluster_rows: DataFrame) -> DataFrame:
     return near.groupBy("clean_q", "key").agg(score.alias("score"))
 
 
-def phonetic(queries: DataFrame, code_postings: DataFrame) -> DataFrame:
-    """query, key, score: half the BM25 of shared phonetic codes."""
+def phonetic(queries: DataFrame, code_postings: DataFrame, code: Callable[[Column], Column] = metaphone_code) -> DataFrame:
+    """query, key, score: half the BM25 of shared phonetic codes (J2, R2). `code` is what the postings were made with."""
     q = queries.select("query", F.explode(F.array_distinct(parts(F.col("query")))).alias("part"))
-    codes = q.select("part").distinct().withColumn("code", metaphone_code("part")).where("code <> ''")
+    codes = q.select("part").distinct().withColumn("code", code(F.col("part"))).where("code <> ''")
     q = q.join(codes, "part").select("query", "code").distinct()
     sizes = code_postings.groupBy("key").agg(F.count(F.lit(1)).alias("len"))
     totals = sizes.agg(F.count(F.lit(1)).alias("n_all"), F.avg("len").alias("avg_len"))
@@ -74,12 +75,12 @@ def cleaned(queries: DataFrame, settings: Settings) -> DataFrame:
     return queries.select("query").where("query is not null").distinct().withColumn("clean_q", name_key(F.col("query"))).where(F.length("clean_q") >= max(1, settings.min_length))
 
 
-def ranked(queries: DataFrame, cluster_rows: DataFrame, code_postings: DataFrame | None = None, *, schemata: list[str] | None = None, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
+def ranked(queries: DataFrame, cluster_rows: DataFrame, code_postings: DataFrame | None = None, *, schemata: list[str] | None = None, settings: Settings = Settings(), code: Callable[[Column], Column] = metaphone_code) -> DataFrame:  # noqa: B008
     """query, clean_q, key, score, rank of the best clusters (L1). With schemata all clusters of any of them are candidates, scores only rank them."""
     q = cleaned(queries, settings)
     scored = q.join(fuzzy(q, cluster_rows), "clean_q").select("query", "clean_q", "key", "score")
     if code_postings is not None:
-        scored = scored.unionByName(q.join(phonetic(q, code_postings), "query").select("query", "clean_q", "key", "score"))
+        scored = scored.unionByName(q.join(phonetic(q, code_postings, code), "query").select("query", "clean_q", "key", "score"))
         scored = scored.groupBy("query", "clean_q", "key").agg(F.round(F.sum("score"), 6).alias("score"))
     if schemata:
         may = cluster_rows.where(F.arrays_overlap("schemata", F.array(*[F.lit(s) for s in schemata]))).select("key")

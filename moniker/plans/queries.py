@@ -278,6 +278,25 @@ def lookup_phonetic(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.phonetic(lookup.cleaned(G.typos(spark, sf), Settings()), K.phonetic_postings(c))
 
 
+def _skeleton(part: Column) -> Column:
+    """A code that SQL has, too: the first letter and the consonants after it."""
+    return F.concat(F.substring(part, 1, 1), F.regexp_replace(F.substring(part, 2, 1 << 30), "[aeiou]", ""))
+
+
+@_query
+def lookup_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """As lookup_phonetic, with a code that SQL has."""
+    return lookup.phonetic(lookup.cleaned(G.typos(spark, sf), Settings()), K.phonetic_postings(_parts(spark, sf), _skeleton), _skeleton)
+
+
+@_query
+def lookup_codes_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """J1 and J2 together, R1, R2, L1, with the same code."""
+    c = _parts(spark, sf)
+    best = lookup.ranked(G.typos(spark, sf), c, K.phonetic_postings(c, _skeleton), code=_skeleton)
+    return best.select("query", "key", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @_query
 def phonetic_codes(spark: SparkSession, sf: str) -> DataFrame:
     """F6."""

@@ -163,6 +163,20 @@ hits as (select query, arg_min(key, rank) as key, round(arg_min(score, rank), 6)
 select query, h.key, score{keep} from hits h join clusters c on c.key = h.key"""
 
 
+def skeleton(x: str) -> str:
+    return f"substr({x}, 1, 1) || regexp_replace(substr({x}, 2), '[aeiou]', '', 'g')"
+
+
+CODES = f"""{LOOKUP}, coded as (select distinct key, {skeleton('p')} as code from (select key, unnest({parts('name')}) as p from (select key, unnest(list_concat(names, aliases)) as name from clusters)) where {skeleton('p')} <> ''),
+lengths as (select key, count(*) as len from coded group by key),
+sums as (select count(*) as n_all, avg(len) as avg_len from lengths),
+dfs as (select code, count(*) as df from coded group by code),
+asked as (select distinct query, {skeleton('p')} as code from (select query, unnest({parts('query')}) as p from cleaned)),
+heard as (
+  select query, c.key, round(0.5 * sum(ln(1 + (n_all - df + 0.5) / (df + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) as score
+  from asked a join coded c on c.code = a.code join dfs d on d.code = c.code join lengths l on l.key = c.key, sums group by query, c.key)"""
+
+
 def joined(c: str) -> str:
     return f"array_to_string({c}, '|') as {c}"
 
@@ -204,6 +218,9 @@ select key, arg_min(a, (d, a)) as caption from distances group by key""",
     "lookup_exact": first_hit("score > 0", 0.97).replace(LOOKUP, LOOKUP.replace("substr(p_name, 1, (p_partkey % length(p_name))::int) || substr(p_name, (p_partkey % length(p_name))::int + 2)", "upper(p_name)")),
     "lookup_fuzzy_key": f"{LOOKUP} select clean_q, key, score from near where score > 0",
     "lookup_topk": f"{LOOKUP} select query, key, score, rank from (select *, row_number() over (partition by query order by score desc, key) as rank from scored where score > 0) where rank <= 10",
+    "lookup_codes": f"{CODES} select query, key, score from heard",
+    "lookup_codes_topk": f"""{CODES}, together as (select query, key, round(sum(score), 6) as score from (select query, key, score from scored where score > 0 union all select query, key, score from heard) group by query, key)
+select query, key, score, rank from (select *, row_number() over (partition by query order by score desc, key) as rank from together) where rank <= 10""",
     "lookup_jaro_first_hit": first_hit("score > 0", 0.9, f", {common('c.schemata')} as common_schema"),
     "lookup_schema_filter": first_hit("key in (select key from clusters where list_contains(schemata, 'PublicBody'))", 0.9),
 }
