@@ -3,8 +3,8 @@
 Candidates are what looks like a credential: well-known key forms, and long values that are assigned to names such as token, key, secret or
 password, without full stops at their end. Each is hashed where it is found, and the whole corpus is aggregated by hash: in how many documents, repositories
 and owners does it occur? A candidate that is low in variety or spells a placeholder is a dummy; one of many owners (EXAMPLE_OWNERS or more), or of several
-(FEW_OWNERS) in many repositories (EXAMPLE_REPOS), is a widely copied example; what is left belongs to few and looks live. Only hashes are shuffled and
-written, never texts or values.
+(FEW_OWNERS) in many repositories (EXAMPLE_REPOS), is a widely copied example; what is left belongs to few and looks live. A scan
+shuffles and writes only hashes, never texts or values; redact() shuffles the texts that it changes.
 
 Defined results: null and empty texts have no candidates; all null owners are one owner, null repositories one repository. A candidate
 that occurs repeatedly in a document, and a repeated row, count once for numbers of documents (by id), owners and repositories. A null
@@ -42,12 +42,12 @@ def candidates(text: Column) -> Column:
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo: Column | None) -> DataFrame:
-    """id, owner, repo, secret_hash, n_chars, dummy of each candidate in each row."""
+    """id, owner, repo, secret_hash, n_chars, dummy, and a hash of the text, of each candidate in each row."""
     C.ready(docs.sparkSession)
     d = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"), docs[f"`{owner_col}`"].alias("owner"), (docs[f"`{owner_col}`"] if repo is None else repo).alias("repo"))
-    d = d.select("id", "owner", "repo", F.explode(candidates(F.col("text"))).alias("value"))
+    d = d.select("id", "owner", "repo", F.xxhash64("text").alias("of"), F.explode(candidates(F.col("text"))).alias("value"))
     dummy = F.col("value").rlike(DUMMY) | (F.size(F.array_distinct(F.split("value", ""))) < LEAST_VARIETY)
-    return d.select("id", "owner", "repo", F.md5("value").alias("secret_hash"), F.length("value").cast("long").alias("n_chars"), dummy.alias("dummy"))
+    return d.select("id", "owner", "repo", "of", F.md5("value").alias("secret_hash"), F.length("value").cast("long").alias("n_chars"), dummy.alias("dummy"))
 
 
 def _judged(found: DataFrame) -> DataFrame:
@@ -68,22 +68,22 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", own
 def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo: Column | None = None) -> DataFrame:
     """The input with live-looking secrets replaced in the texts; other rows and columns stay as they are, repeated rows included.
 
-    What is judged live depends on the whole corpus, so the live hashes are gathered first; only rows with a candidate take part
-    in the join with them, which is by a hash of the text.
+    What is judged live depends on the whole corpus, so all texts are searched once for that. Then a Bloom filter of hashes of the texts with a live one lets the other rows
+    pass as they are; only what is left is searched again, and joined with its own live values by the text's hash.
     """
-    live = C.cut(_judged(_found(docs, id_col, text_col, owner_col, repo)).where("verdict = 'live'").select("secret_hash"))
-    text, columns = docs[f"`{text_col}`"], [f"`{c}`" for c in docs.columns]
-    c, key, of, values = (C.free(docs, x) for x in ("secret_candidates", "secret_text", "secret_of", "secret_values"))
-    keyed = docs.withColumn(c, candidates(text))
-    rest = keyed.where((F.size(c) < 1) | F.col(c).isNull()).select(columns)
-    hit = keyed.where(F.size(c) > 0).withColumn(key, F.xxhash64(F.col(f"`{text_col}`")))
-    each = hit.select(key, F.explode(c).alias("value")).distinct().withColumn("secret_hash", F.md5("value")).join(live, "secret_hash")
-    per = each.groupBy(F.col(key).alias(of)).agg(F.collect_set("value").alias(values))
+    found = C.cut(_found(docs, id_col, text_col, owner_col, repo))
+    live = C.cut(_judged(found).where("verdict = 'live'").select("secret_hash"))
+    having = C.cut(found.join(live, "secret_hash", "left_semi").select("of").distinct())
+    key, of, values = (C.free(docs, x) for x in ("secret_text", "secret_of", "secret_values"))
+    text, columns = F.col(f"`{text_col}`"), [f"`{c}`" for c in docs.columns]
+    may, others = C.sieve(docs.withColumn(key, F.xxhash64(text)), F.col(key), having)
+    each = may.select(F.col(key).alias(of), F.explode(candidates(text)).alias("value")).distinct().withColumn("secret_hash", F.md5("value")).join(live, "secret_hash")
+    per = each.groupBy(of).agg(F.collect_set("value").alias(values))
     # longer values first, so that none hides within another
     longest = F.reverse(F.array_sort(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.struct(F.length(v).alias("n"), v.alias("v")))))
-    clean = F.aggregate(longest, F.col(f"`{text_col}`"), lambda t, v: F.replace(t, v["v"], F.lit(REDACTED)))
-    done = hit.join(per, F.col(key) == F.col(of), "left")
-    return rest.unionByName(done.select(*[clean.alias(x) if x == text_col else F.col(f"`{x}`") for x in docs.columns]))
+    clean = F.aggregate(longest, text, lambda t, v: F.replace(t, v["v"], F.lit(REDACTED)))
+    done = may.join(per, F.col(key) == F.col(of), "left")
+    return others.select(columns).unionByName(done.select(*[clean.alias(x) if x == text_col else F.col(f"`{x}`") for x in docs.columns]))
 
 
 _QUOTED = NAMED.replace("'", "''")
