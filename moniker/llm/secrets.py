@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from . import common as C
 
 EXAMPLE_OWNERS, FEW_OWNERS, EXAMPLE_REPOS, LEAST_VARIETY = 8, 4, 16, 6
-# forms that need no name, web tokens, a named value; but for the look behind none uses what Java's and RE2's syntax differ in. Lengths have no upper bound where
+# forms that need no name, those that stand apart from words, a named value; but for the look behind none uses what Java's and RE2's syntax differ in. Lengths have no upper bound where
 # the form sets none: what is cut off a credential would be counted as another one and stay in the text
-FORMS = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|sk-[A-Za-z0-9_-]{20,}"
-# a web token doesn't begin within a word: else a text of nothing but beginnings would be searched to its end from each
-WEB = r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"
+FORMS = r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}"
+# web tokens and sk- keys don't begin within a word: else a text of nothing but beginnings would be searched to its end from each, and risk-adjusted-return-on-capital would have a key
+APART = r"(?:eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}|sk-[A-Za-z0-9_-]{20,})"
 NAMED = r"(?i:token|secret|passwd|password|api_?key|access_?key|auth_?key|credential|private_?key)[\"']{0,1}[ \t]{0,3}[:=][ \t]{0,3}[\"']{0,1}([A-Za-z0-9+/=_.-]{15,}[A-Za-z0-9+/=_-])"
 DUMMY = r"(?i)example|placeholder|changeme|your_|xxxx|0000000|1234567|abcdefg"
 REDACTED = "[SECRET]"
@@ -35,10 +35,10 @@ def candidates(text: Column) -> Column:
     """Distinct candidates of a text, as an array. Plain searches for what every match must have spare most texts the patterns."""
     none = F.array().cast("array<string>")
     has = lambda *xs: reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in xs])
-    forms = F.when(has("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza", "sk-"), F.regexp_extract_all(text, F.lit(f"(?:{FORMS})"), F.lit(0))).otherwise(none)
-    web = F.when(has("eyJ"), F.regexp_extract_all(text, F.lit(f"(?<![A-Za-z0-9_-]){WEB}"), F.lit(0))).otherwise(none)
+    forms = F.when(has("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza"), F.regexp_extract_all(text, F.lit(f"(?:{FORMS})"), F.lit(0))).otherwise(none)
+    apart = F.when(has("eyJ", "sk-"), F.regexp_extract_all(text, F.lit(f"(?<![A-Za-z0-9_-]){APART}"), F.lit(0))).otherwise(none)
     named = F.when(has("=", ":"), F.regexp_extract_all(text, F.lit(NAMED), F.lit(1))).otherwise(none)
-    return F.array_distinct(F.concat(forms, web, named))
+    return F.array_distinct(F.concat(forms, apart, named))
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo: Column | None) -> DataFrame:
@@ -90,7 +90,7 @@ _QUOTED = NAMED.replace("'", "''")
 SQL = f"""
 with found as (
   select distinct doc_id, source, lang, value from (
-    select doc_id, source, lang, unnest(list_concat(regexp_extract_all(text, '(?:{FORMS})'), regexp_extract_all(text, '(?:^|[^A-Za-z0-9_-])({WEB})', 1), regexp_extract_all(text, '{_QUOTED}', 1))) as value from documents)
+    select doc_id, source, lang, unnest(list_concat(regexp_extract_all(text, '(?:{FORMS})'), regexp_extract_all(text, '(?:^|[^A-Za-z0-9_-])({APART})', 1), regexp_extract_all(text, '{_QUOTED}', 1))) as value from documents)
 ), judged as (
   select value, count(distinct coalesce('1' || doc_id, '0')) as n_docs, count(distinct concat_ws('/', source, lang)) as n_repos, count(distinct coalesce('1' || source, '0')) as n_owners
   from found group by value)

@@ -8,6 +8,7 @@ import random
 import struct
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -237,6 +238,17 @@ def test_long_secrets(spark):
     assert red == ["see [SECRET] there"] * len(long) + ['token = "[SECRET]" there'] * len(long) + ["password: [SECRET] there"] * len(named)
 
 
+def test_words_are_no_secrets(spark):
+    """What begins within a word is none, in SQL either."""
+    texts = ["a risk-adjusted-return-on-capital-model", "the task-force-for-the-new-harbour", "but sk-Ab3dEf6hIj9lMn2pQr5tUv8x is", "(sk-Ab3dEf6hIj9lMn2pQr5tUv8x)"]
+    docs = spark.createDataFrame([(i, t, "en", "s0", 1) for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(x["doc_id"] for x in secrets.scan(docs).collect()) == [2, 3]
+    assert [x["text"] for x in secrets.redact(docs).orderBy("doc_id").collect()] == [*texts[:2], "but [SECRET] is", "([SECRET])"]
+    c = duckdb.connect()
+    c.register("documents", docs.toPandas())
+    assert sorted(x[0] for x in c.execute(secrets.SQL).fetchall()) == [2, 3]
+
+
 def test_secrets_odd(odd, none):
     assert secrets.scan(odd).count() == 0 == secrets.scan(none).count()
     assert Counter(pairs_of(secrets.redact(odd))) == Counter(pairs_of(odd)) and secrets.redact(none).count() == 0
@@ -889,7 +901,7 @@ def test_pipeline_against_brute_force(spark):
     assert Counter(x["doc_id"] for x in single) == Counter(least.values())
     owners, of = defaultdict(set), {}
     for x in single:
-        of[x["doc_id"]] = {*re.findall(f"(?:{secrets.FORMS})", x["text"]), *re.findall(f"(?<![A-Za-z0-9_-]){secrets.WEB}", x["text"]), *re.findall(secrets.NAMED, x["text"])}
+        of[x["doc_id"]] = {*re.findall(f"(?:{secrets.FORMS})", x["text"]), *re.findall(f"(?<![A-Za-z0-9_-]){secrets.APART}", x["text"]), *re.findall(secrets.NAMED, x["text"])}
         for v in of[x["doc_id"]]:
             owners[v].add(x["source"])
     live = {v for v, o in owners.items() if not re.search(secrets.DUMMY, v) and len(set(v)) >= secrets.LEAST_VARIETY and len(o) < secrets.EXAMPLE_OWNERS}
