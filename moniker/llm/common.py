@@ -14,18 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.readers import spread
-
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-
-def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package wherever the driver was started."""
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "").split(os.pathsep)
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
-    return spark
+from ..sources.readers import ready, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
