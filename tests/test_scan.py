@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import sys
 
 import pyarrow as pa
 import pytest
@@ -110,3 +111,46 @@ def test_tables_of_bits_lose_nothing(spark):
     assert scan.among(scan.hashes(keys), table).all()
     assert scan.among(scan.hashes([f"x{i}" for i in range(5000)]), table).mean() < 0.05
     assert not scan.among(scan.hashes(keys), scan.bits(spark.createDataFrame([], "t string"), scan.hash_of(F.col("t")))).any()
+
+
+def test_many_texts_at_once():
+    """The same tokens, offsets and hashes as one by one, with a number of calls in Python that doesn't grow with the tokens."""
+    r = random.Random(5)
+    one = [f"a{chr(c)}b {chr(c)}" for c in CODES if c < 0x11000]
+    mixed = ["".join(r.choice("ab'- éß한\n_9ŉĳﬃİÆ") for _ in range(r.randint(0, 60))) for _ in range(3000)]
+    every, n = [*one, *mixed, "", "-", None, "a\U0001f600b d’Arc", "x" * 200_000, "end"], 0
+    for which in scan.pieces(every):
+        p = scan.Piece([every[i] for i in which])
+        for d, i in enumerate(which):
+            at = slice(p.first[d], p.first[d + 1])
+            if d in p.hard:
+                assert at.start == at.stop
+                continue
+            o, start, end = scan.places(every[i])
+            want = [x for x in zip(scan.raw_forms(every[i]), o, start.tolist(), end.tolist(), strict=True) if x[0]]
+            s, e = p.start[at], p.end[at]
+            got = list(zip(p.forms(at), [p.text[a:b] for a, b in zip(s, e, strict=True)], (s - p.at[d]).tolist(), (e - p.at[d]).tolist(), strict=True))
+            assert got == want and (p.hash[at] == scan.hashes([x[0] for x in want])).all(), every[i][:80]
+            n += 1
+    assert n > 50_000
+    calls = []
+    for size in (1000, 20_000):
+        text, k = "Élan of the day, " * (size // 4), 0
+
+        def called(*_: object) -> None:
+            nonlocal k
+            k += 1
+
+        sys.setprofile(called)
+        scan.Piece([text])
+        sys.setprofile(None)
+        calls.append(k)
+    assert calls[1] <= calls[0] + 10
+
+
+def test_hard_and_long_texts_beside_others(spark):
+    """Texts that are searched one by one, in a batch with others, give what they give alone."""
+    df = made(spark, ["aa bb cc", "x \U0001f600 aa-bb dd aa bb", None, "aa’ bb cc", "cc cc, " + "y " * 600_000 + "aa bb", "", "Àâ BB"])
+    p = extract.patterns(gazetteer(spark), Settings(min_token_length=2))
+    got = {(m["doc_id"], m["start"], m["text"]) for m in extract.extract(df, p).collect()}
+    assert got == {(0, 0, "aa bb cc"), (1, 4, "aa-bb dd"), (3, 0, "aa bb cc"), (4, 0, "cc cc"), (4, 1_200_007, "aa bb"), (6, 0, "Àâ BB")}
