@@ -124,7 +124,7 @@ def uniform(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Slices batches so that the texts of a slice have about most_bytes bytes; no text is cut."""
     for batch in batches:
         n = batch.num_rows
